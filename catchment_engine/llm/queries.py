@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import documents, new_path
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii as op
+
+    return op.pii_report(op.find_pii(documents(spark, sf_dir)))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +37,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.contamination_report(op.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality as op
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return op.assess(documents(spark, sf_dir)).select(*columns, *op.RATIOS, "level")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing as op
 
