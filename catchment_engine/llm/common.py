@@ -39,6 +39,29 @@ def ascii_lower(data: bytes) -> bytes:
     return data.lower()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per context, so that
+    it needn't be installed there."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_catchment_engine", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(top):  # already read from an archive
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="catchment-"), "catchment_engine.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    sc.addPyFile(archive)
+    sc._catchment_engine = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
     temporary one where that is unset (local tests)."""
@@ -70,6 +93,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

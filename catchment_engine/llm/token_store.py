@@ -3,8 +3,9 @@
 Rolling hashes cut each document's id stream into chunks at places that depend
 on content alone. A store is a folder of three Parquet tables:
 
-* ``chunks``: (digest, n, data) with each distinct chunk once; data holds ids as
-  little-endian unsigned 16-bit integers (32-bit if the vocabulary needs it).
+* ``chunks``: (digest, n, data) with each distinct chunk once; data is a zstd frame
+  of ids as little-endian unsigned 16-bit integers (32-bit if the vocabulary needs
+  it), and the digest is that of these ids' bytes.
 * ``recipes``: (shard, idx, doc_id, n_tokens, shard_start, root, digests) in
   ascending doc_id order, null first: shard by shard, idx within a shard.
 * ``manifest``: (shard, docs, tokens, start, root): the Merkle root over a
@@ -34,7 +35,9 @@ CHUNK_MIN, CHUNK_MEAN, CHUNK_MAX = 128, 1024, 8192
 #: Ids that the rolling hash sees.
 ROLL = 16
 #: Entries of a worker's cache from words to ids, and the longest word kept there.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_BYTES = 600_000, 64
+#: Digests that a task remembers, so as to send each chunk once.
+SEEN = 200_000
 #: Children of a node in a shard's Merkle tree.
 FANOUT = 256
 
@@ -86,33 +89,112 @@ def cuts(ids: np.ndarray, vocabulary: int) -> list[int]:
     return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write bytes: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Bytes of the words that the short way takes: Latin-1 letters in UTF-8, then punctuation.
+_LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))])
+_PUNCTUATION = b".,;:!?"
+#: The short way is taken only by tokenizers that give the same ids for these both ways.
+_PROBES = ["a", "The", "word.", "Été,", "ÑANDÚ", "straße!?", "naïveté...", "ÀÉÎÕÜ", "reconstruction;", "x:"]
+
+
 class _WordEncoder:
     """Ids of texts, by way of a cache of white-space words.
 
-    Right for tokenizers that drop white space and never join what it parts.
+    Right for tokenizers that drop white space and never join what it parts. Most new
+    words are letters and punctuation that normalising and splitting leave alone but
+    for their case; they go straight to the library's model, the others through all of it.
     """
 
     def __init__(self, path: str, dtype: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {}
-
-    def encode(self, data: bytes) -> bytes:
-        words = data.split()
-        cache = self.cache
-        new = list(set(words).difference(cache))
-        if not new:
-            return b"".join(map(cache.__getitem__, words))
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-            new = list(set(words))
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        fresh = {w: np.asarray(e.ids, self.dtype).tobytes() for w, e in zip(new, made, strict=True)}
-        cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_BYTES)
-        return b"".join([fresh[w] if w in fresh else cache[w] for w in words])
+        self.bare, self.width, self.ends = Tokenizer(self.tokenizer.model), np.dtype(dtype).itemsize, {b"": b""}
+        self.bare.model._resize_cache(0)  # words come once
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = [(chr(b), c) for b, c in _byte_letters().items() if chr(b) != c and b >= 0x80]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        words = [w.encode() for w in _PROBES]
+        self.short = self.pieces([w.rstrip(_PUNCTUATION) for w in words]) == self.whole([w.rstrip(_PUNCTUATION) for w in words])
+
+    def pieces(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of words of letters; None if words' ends can't be told."""
+        text = b" ".join(words).decode().lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+            for a, b in self.letters:
+                text = text.replace(a, b)
+        ids = np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        stops = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+        if len(stops) != len(words) or stops[-1] != len(ids) * self.width:
+            return None
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+
+    def whole(self, words: list[bytes]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in made]
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        out, bases, others = {}, [], []
+        for w in new:
+            base = w.rstrip(_PUNCTUATION)
+            if self.short and base and len(w) <= CACHE_BYTES and not base.translate(None, _LETTERS):
+                bases.append((w, base))
+            else:
+                others.append(w)
+        for i in range(0, len(bases), 8192):
+            part = bases[i : i + 8192]
+            made = self.pieces([b for _, b in part])
+            if made is None:
+                others += [w for w, _ in part]
+                continue
+            for (w, base), ids in zip(part, made, strict=True):
+                end = w[len(base) :]
+                if end not in self.ends:
+                    self.ends[end] = self.whole([end])[0]
+                out[w] = ids + self.ends[end]
+        for i in range(0, len(others), 256):
+            out.update(zip(others[i : i + 256], self.whole(others[i : i + 256]), strict=True))
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; texts of about a megabyte at a time are a good measure."""
+        split = [t.split() for t in texts]
+        found = [list(map(self.cache.get, words)) for words in split]
+        new = {w for words, got in zip(split, found, strict=True) if None in got for w, ids in zip(words, got, strict=True) if ids is None}
+        if new:
+            fresh = self.learn(list(new))
+            for words, got in zip(split, found, strict=True):
+                if None in got:
+                    got[:] = [fresh[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            self.cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_BYTES)
+        return [b"".join(got) for got in found]
+
+
+def _groups(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 @lru_cache(maxsize=2)
@@ -127,15 +209,17 @@ def _encode(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, id_co
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = _encoder(tokenizer, dtype), set()
+        import zstandard
+
+        encoder, seen, pack = _encoder(tokenizer, dtype), set(), zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
         end = np.asarray([end_id], dtype).tobytes()
         width = int(dtype[-1])
         for b in batches:
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             n_tokens, roots, digests, c_digest, c_n, c_data = [], [], [], [], [], []
-            for text in b.column(1).cast(pa.binary()).to_pylist():
-                data = (encoder.encode(text) if text else b"") + end
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            for data in (x + end for group in _groups(texts, 1 << 20) for x in encoder.encode(group)):
                 ids = np.frombuffer(data, dtype)
                 own, begin = [], 0
                 for stop in cuts(ids, vocabulary):
@@ -146,7 +230,7 @@ def _encode(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, id_co
                         seen.add(d)
                         c_digest.append(d)
                         c_n.append(stop - begin)
-                        c_data.append(part)
+                        c_data.append(pack(part))
                     begin = stop
                 n_tokens.append(len(ids))
                 roots.append(merkle_root(own))
@@ -251,6 +335,9 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int) -> DataFrame
     id_type = recipes.schema["doc_id"].dataType.simpleString()
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         head, held = None, []
 
         def finish():
@@ -277,7 +364,7 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int) -> DataFrame
                             rows, size = [], 0
                     head, held = r, []
                 else:
-                    held.append(r["data"] or b"")
+                    held.append(unpack(r["data"]))
             if rows:
                 yield batch(rows)
         if head:
