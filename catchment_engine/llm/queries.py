@@ -37,6 +37,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.contamination_report(op.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash_dedup as op
+
+    return op.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality as op
 
