@@ -50,6 +50,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.assess(documents(spark, sf_dir)).select(*columns, *op.RATIOS, "level")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup as op
+
+    return op.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing as op
 
