@@ -1,8 +1,99 @@
-"""Corpus pipeline (to be filled in)."""
+"""From raw documents to a mixed, deduplicated and decontaminated token store.
 
+Each stage takes (spark, docs, sf_dir), with docs the table that the stage before it
+kept, and returns a table of the columns of documents; the last returns what the token
+store holds of each document. run() writes each stage's table to shared storage and reads
+it again, so that a lost executor costs no more than the stage at work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catchment_engine.llm import common
+from catchment_engine.llm import decontamination as decontamination_op
+from catchment_engine.llm import minhash_dedup as minhash_op
+from catchment_engine.llm import mixing as mixing_op
+from catchment_engine.llm import quality as quality_op
+from catchment_engine.llm import token_store as store_op
+from catchment_engine.llm.queries import VOCABULARY, write_token_store
+
+#: No SQL: the tokenizer isn't in it.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fences of their language and source."""
+    common.ship(spark)
+    keyed = docs.withColumn("__key", common.row_key("text", "lang", "source"))
+    judged = quality_op.assess(keyed, keep=["doc_id", "__key"])
+    # The rejected are few and small; the planner sees their size and broadcasts them or not.
+    gone = common.stage(judged.where("NOT kept").select("doc_id", "__key").distinct(), "pipeline-rejected")
+    return common.without(keyed, gone, ["doc_id", "__key"]).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id. Of
+    repeated rows of a doc_id one stays, by text and then the other columns."""
+    common.ship(spark)
+    found = common.stage(minhash_op.near_duplicates(docs), "pipeline-near")
+    gone = common.stage(found.where("NOT kept").select("doc_id").distinct(), "pipeline-copies")
+    out = common.without(docs, gone, ["doc_id"])
+    repeated = common.stage(found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    if not repeated.head(1):
+        return out
+    # Of a repeated id, rows are compared whole; only such rows are shuffled.
+    some = out.join(repeated, "doc_id", "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = some.groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    return common.without(out, repeated, ["doc_id"]).unionByName(one)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    common.ship(spark)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    id_and_key = F.struct("doc_id", F.col("__key").alias("key"))
+    found = decontamination_op.find_contamination(keyed.select(id_and_key.alias("doc_id"), "text"), benchmark, slop=None)
+    gone = found.where(F.size("spans") > 0).select("doc_id.doc_id", F.col("doc_id.key").alias("__key"))
+    return common.without(keyed, common.stage(gone, "pipeline-contaminated"), ["doc_id", "__key"]).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, nought to two times: the words taken over
+    the document's size, rounded. Repeated documents stand as repeated rows."""
+    common.ship(spark)
+    taken = mixing_op.mix(docs)
+    copies = taken.select("doc_id", "size", "source", F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0) + 0.5).cast("int").alias("copies"))
+    # Equal rows of the mix have equal shares up to one packet; take the largest for each.
+    copies = common.stage(copies.groupBy("doc_id", "size", "source").agg(F.max("copies").alias("copies")).where("copies > 0"), "pipeline-mix")
+    sized = docs.withColumn("__size", mixing_op.word_count(F.col("text")))
+    on = sized["doc_id"].eqNullSafe(copies["doc_id"]) & (sized["__size"] == copies["size"]) & sized["source"].eqNullSafe(copies["source"])
+    joined = sized.join(copies.select("doc_id", "size", "source", "copies"), on)
+    columns = [sized[c] for c in docs.columns]
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select(docs.columns)
+
+
+def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the store and returns, as read back from it: doc_id, start, n_tokens, ids_crc32."""
+    common.ship(spark)
+    path = write_token_store(spark, docs)
+    return store_op.read_documents(spark, path, VOCABULARY).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token store", token_store),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = common.stage(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return docs
