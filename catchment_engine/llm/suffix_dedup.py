@@ -30,7 +30,7 @@ from .hashing import mix64, prefix_hash, window_hash
 
 SIZE, GRAM = 400, 160
 #: Distinct contexts of a gram that one task takes; bytes of contexts sorted at once.
-HOT, BLOCK = 20_000, 2 << 20
+HOT, BLOCK = 20_000, 1 << 19
 #: Bits of the filters that tell which texts are needed: of fixed size, 8 MB.
 FILTER_BITS = 1 << 26
 
