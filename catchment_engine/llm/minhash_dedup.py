@@ -4,8 +4,9 @@ Two permutations of 32-bit integers make a signature: the first scatters a set's
 elements, the second, shifted circularly by k, gives coordinate k. Documents with the
 same set are one node. Nodes that share a band's coordinates are candidates; a link is
 confirmed on the full sets. Within a bucket every node is compared with the bucket's
-smallest node first; further pairs are compared only where a bucket's nodes are still in
-different components, so groups of copies are never expanded into all their pairs.
+smallest node first; where a bucket's nodes are then still in different components, those
+outside the largest are compared with the others in blocks. Pairs of copies are never
+written out.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ PERCENT, WORDS = 80, 2
 FILTER_BITS = 1 << 26
 #: Bytes of text hashed at once.
 GROUP = 1 << 20
-#: Residual pairs that one round verifies.
-ROUND_PAIRS = 20_000_000
+#: Set elements in a block of nodes.
+BLOCK_SHINGLES = 16_384
 #: Nodes without a document id are numbered from here.
 NO_ID = 1 << 62
 
@@ -103,8 +104,8 @@ def _positions(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _filter(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A filter of bits that every one of the nodes' documents passes: combined by the
-    executors into 64-bit words, of which there are bits / 64 at most."""
+    """A filter of bits that every one of the nodes' documents passes, as words of 64 bits,
+    of which there are bits / 64 at most, combined on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,23 +116,23 @@ def _filter(nodes: DataFrame, bits: int) -> np.ndarray:
     got = words.toPandas()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy()] = got["mask"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if len(got) else np.zeros(bits, bool)
+    return out
 
 
 def _sets_of(docs: DataFrame, passing: np.ndarray, words: int) -> DataFrame:
     """(key, elements) of the documents that pass a filter by their id; elements are the
     set's sorted hashes as bytes."""
-    packed = np.packbits(passing).tobytes()
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-    bits = len(passing)
+    shared = docs.sparkSession.sparkContext.broadcast(passing.tobytes())
+    bits = 64 * len(passing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
+        bitmap = np.frombuffer(shared.value, np.int64)
         seen: set[bytes] = set()
         for b in batches:
             ids = b.column(0)
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            wanted = bitmap[_positions(number, bits)] | ids.is_null().to_numpy(zero_copy_only=False)
+            at = _positions(number, bits)
+            wanted = (bitmap[at >> 6] >> (at & 63) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
             texts = b.column(1).filter(pa.array(wanted)).cast(pa.binary()).to_pylist()
             for part in grouped(texts, 4 * GROUP):
                 keys, elements = [], []
@@ -150,8 +151,7 @@ def _sets_of(docs: DataFrame, passing: np.ndarray, words: int) -> DataFrame:
     return docs.mapInArrow(run, "key binary, elements binary")
 
 
-def _linked(a: bytes, b: bytes, percent: int) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     both = np.concatenate((x, y))
@@ -165,7 +165,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [_linked(x.as_py(), y.as_py(), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            ok = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
@@ -180,6 +180,44 @@ def _labelled(df: DataFrame, labels: DataFrame | None, column: str, to: str) ->
     return df.join(labels, F.col(column) == F.col("__n"), "left").withColumn(to, F.coalesce("__c", column)).drop("__n", "__c")
 
 
+def _residual(members: DataFrame, banded: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket that its star hasn't compared.
+
+    A block holds about BLOCK_SHINGLES set elements, and rows are pairs of blocks, so that
+    neither a bucket nor its pairs of nodes are gathered or written out. Nodes that share
+    several buckets are compared in the one with the smallest key.
+    """
+    of = stage(_labelled(members.select("band", "rep", "node", "n"), labels, "node", "c"), "minhash-open")
+    parts = of.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
+    open_bands = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("m"), F.max_by("c", F.struct("k", -F.col("c"))).alias("main")).where("parts > 1 AND m > 2")
+    left = of.join(open_bands.select("band", "main"), "band").withColumn("query", F.col("c") != F.col("main"))
+    left = stage(left, "minhash-unsettled")
+    blocks = left.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("t_blocks"), F.ceil(F.sum(F.when(F.col("query"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).alias("q_blocks"))
+    details = left.select("node").distinct().join(banded.select("node", "bands"), "node").join(sets, "node")
+    full = left.join(blocks, "band").join(details, "node")
+    member = F.struct("node", "c", "rep", "elements", "bands")
+    side = lambda df, n, name: df.withColumn("block", F.pmod(F.xxhash64("node"), F.col(n))).groupBy("band", "block").agg(F.collect_list(member).alias(name)).drop("block")
+    pairs = side(full.where("query"), "q_blocks", "q").join(side(full, "t_blocks", "t"), "band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                band, q, t = (b.column(i)[k].as_py() for i in range(3))
+                for side_ in (q, t):
+                    for x in side_:
+                        x["set"], x["smaller"] = np.frombuffer(x["elements"], np.uint64), {v for v in x["bands"] if v < band}
+                for x in q:
+                    for y in t:
+                        if x["c"] == y["c"] or x["rep"] in (x["node"], y["node"]) or not x["smaller"].isdisjoint(y["smaller"]):
+                            continue
+                        if _similar(x["set"], y["set"], percent):
+                            out.append((min(x["node"], y["node"]), max(x["node"], y["node"])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return pairs.select("band", "q", "t").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs.
 
@@ -198,8 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     nodes = stage(nodes.select("key", F.coalesce("first", no_id).alias("node"), "n"), "minhash-nodes")
 
-    buckets = sketch.where(F.size("bands") > 0).select("key", "bands").dropDuplicates(["key"]).join(nodes, "key").select("node", "n", F.explode("bands").alias("band"))
-    buckets = stage(buckets, "minhash-buckets")
+    banded = stage(sketch.where(F.size("bands") > 0).select("key", "bands").dropDuplicates(["key"]).join(nodes, "key").select("node", "n", "bands"), "minhash-bands")
+    buckets = banded.select("node", "n", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("rep")).where("m > 1")
     members = stage(buckets.join(shared.select("band", "rep"), "band"), "minhash-members")
     sizes = nodes.select(F.col("node").alias("__rep"), F.col("n").alias("rep_n"))
@@ -223,25 +261,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.head(1):
         labels = stage(connected_components(links), "minhash-labels")
 
-    # Buckets whose nodes are in different components yet: all pairs between them that no
-    # star has compared, in as many rounds as keep each within ROUND_PAIRS.
-    member_of = stage(_labelled(members.select("band", "rep", "node", "n"), labels, "node", "c"), "minhash-open")
-    parts = member_of.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    unsettled = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("parts > 1 AND m > 2")
-    unsettled = stage(unsettled, "minhash-unsettled")
-    pairs = (unsettled.agg(F.sum((F.col("m") * F.col("m") - F.col("squares")) / 2)).first()[0] or 0)
-    rounds = max(1, -(-int(pairs) // ROUND_PAIRS)) if pairs else 0
-    left = stage(member_of.join(unsettled.select("band"), "band", "left_semi"), "minhash-unsettled-members") if rounds else None
-    for k in range(rounds):
-        now = _labelled(left.drop("c"), labels, "node", "c")
-        x = now.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "rep")
-        y = now.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        cross = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("rep")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        cross = cross.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        more = stage(_verify(cross, sets, percent), "minhash-links")
-        if more.head(1):
-            links = links.unionByName(more)
-            labels = stage(connected_components(links), "minhash-labels")
+    # Buckets whose nodes are in different components yet: their nodes outside the largest
+    # component are a query set, compared with all the bucket's nodes in blocks.
+    last = stage(_residual(members, banded, sets, labels, percent), "minhash-links")
+    if last.head(1):
+        labels = stage(connected_components(links.unionByName(last)), "minhash-labels")
 
     out = _labelled(sketch.select("doc_id", "n", "key").join(nodes.select("key", "node"), "key", "left"), labels, "node", "c")
     component = F.coalesce(F.when(F.col("c") < NO_ID, F.col("c")), F.col("doc_id"))
