@@ -180,11 +180,22 @@ def _profile(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, n long, t binary, sha binary, first array<long>, last array<long>, g array<long>, c1 array<long>, c2 array<long>")
 
 
+def _place(keys: list[bytes], bits: int) -> np.ndarray:
+    first = np.frombuffer(b"".join(k[:6] + b"\0\0" for k in keys), "<u8")
+    return (first & np.uint64(bits - 1)).astype(np.int64)
+
+
 def _filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """A filter of bits that every text key passes, combined on the executors."""
-    at = F.pmod(F.xxhash64("t"), F.lit(bits))
-    words = keys.select(F.floor(at / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("mask"))
-    got = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most bits / 64 rows
+    """A filter of bits that every text key passes, as words of 64 bits, combined on the
+    executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _place(b.column(0).to_pylist(), bits)
+            mask = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(mask)], ["word", "mask"])
+
+    got = keys.select("t").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64)
     return out
@@ -194,29 +205,23 @@ def _texts(docs: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> DataFra
     """(t, text) of the texts with one of the keys, and of few others; one row per text."""
     words = docs.sparkSession.sparkContext.broadcast(_filter(keys, bits).tobytes())
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(x) for x in texts], pa.binary()), pa.array(texts, pa.binary())], ["t", "text"])
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(words.value, np.int64)
         seen: set[bytes] = set()
         for b in batches:
-            at = b.column(2).to_numpy()
-            passed = np.flatnonzero(bitmap[at >> 6] >> (at & 63) & 1)
+            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+            keys_ = [text_key(x) for x in texts]
+            at = _place(keys_, bits)
             new = []
-            for i, t in zip(passed.tolist(), b.column(0).take(pa.array(passed)).to_pylist(), strict=True):
-                if t not in seen:
-                    seen.add(t)
+            for i in np.flatnonzero(bitmap[at >> 6] >> (at & 63) & 1).tolist():
+                if keys_[i] not in seen:
+                    seen.add(keys_[i])
                     new.append(i)
             if len(seen) > 500_000:
                 seen.clear()
-            chosen = b.take(pa.array(new, pa.int64()))
-            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["t", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys_[i] for i in new], pa.binary()), pa.array([texts[i] for i in new], pa.binary())], ["t", "text"])
 
-    keyed = docs.mapInArrow(key, "t binary, text binary").withColumn("at", F.pmod(F.xxhash64("t"), F.lit(bits)))
-    return keyed.mapInArrow(keep, "t binary, text binary").join(keys, "t").dropDuplicates(["t"])
+    return docs.mapInArrow(keep, "t binary, text binary").join(keys, "t").dropDuplicates(["t"])
 
 
 def _cut(texts: DataFrame, size: int) -> DataFrame:
