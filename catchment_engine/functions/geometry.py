@@ -123,7 +123,7 @@ def _cross(o: Column, a: Column, b: Column) -> Column:
 
 def is_valid(ring: Column) -> Column:
     """Closed, of four points at least, not flat, and no two edges that aren't neighbours
-    cross (each pair of edges once)."""
+    cross (each pair of edges once). An empty ring is valid."""
     n = F.size(ring) - 1
     at = lambda i: F.get(ring, i)
 
@@ -136,7 +136,7 @@ def is_valid(ring: Column) -> Column:
         lambda i: F.exists(F.when(i + 2 <= n - 1, F.sequence(i + 2, n - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.coalesce(crossing(i, j), F.lit(False))),
     )
     closed = (F.get(ring, 0)["x"] == F.get(ring, n)["x"]) & (F.get(ring, 0)["y"] == F.get(ring, n)["y"])
-    return F.coalesce((n >= 3) & closed & ~pairs & (F.size(F.array_distinct(ring)) >= 3), F.lit(False))
+    return F.when(F.size(ring) == 0, True).otherwise(F.coalesce((n >= 3) & closed & ~pairs & (F.size(F.array_distinct(ring)) >= 3), F.lit(False)))
 
 
 def make_valid_bowtie(ring: Column) -> Column:

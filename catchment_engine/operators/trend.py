@@ -11,18 +11,40 @@ from ..bands import z_value
 from ..functions.stats import t_two_sided
 
 
+#: Degrees of freedom whose quantile is computed exactly on the driver.
+EXACT_DF = 100
+
+
+def t_cdf_two_sided(t: float, df: int) -> float:
+    """P(|T| <= t) for a whole number of degrees of freedom, by the finite sum."""
+    angle = math.atan(t / math.sqrt(df))
+    s, c = math.sin(angle), math.cos(angle)
+    term, total = (c, 0.0) if df % 2 else (1.0, 0.0)
+    for k in range(1, (df - 1) // 2 + 1 if df % 2 else df // 2 + 1):
+        total += term
+        term *= c * c * ((2 * k) / (2 * k + 1) if df % 2 else (2 * k - 1) / (2 * k))
+    return 2 / math.pi * (angle + s * total) if df % 2 else s * total
+
+
+def t_quantile(df: int, confidence: float) -> float:
+    """Two-sided quantile by bisection."""
+    low, high = 0.0, 1.0
+    while t_cdf_two_sided(high, df) < confidence:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_cdf_two_sided(middle, df) < confidence else (low, middle)
+    return (low + high) / 2
+
+
 def _t_quantile(df: Column, confidence: float) -> Column:
-    """Student's t quantile by Hill's expansion about the normal one; exact for 1 and 2."""
+    """Up to EXACT_DF from a table, beyond by the expansion about the normal quantile."""
     z = z_value(confidence)
-    g1 = (z**3 + z) / 4
-    g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
-    g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    g4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160
-    tail = (1 - confidence) / 2
-    one = 1 / math.tan(math.pi * tail)
-    two = (1 - 2 * tail) / math.sqrt(2 * tail * (1 - tail))
     n = df.cast("double")
-    return F.when(df == 1, one).when(df == 2, two).when(df > 2, F.lit(z) + g1 / n + g2 / (n * n) + g3 / (n * n * n) + g4 / (n * n * n * n))
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    far = F.lit(z) + terms[0] / n + terms[1] / (n * n) + terms[2] / (n * n * n)
+    table = F.array(*[F.lit(t_quantile(k, confidence)) for k in range(1, EXACT_DF + 1)])
+    return F.when(df < 1, None).when(df <= EXACT_DF, F.try_element_at(table, df.cast("int"))).otherwise(far)
 
 
 def annual_trend(df: DataFrame, x: str, y: str, group: list[str] | None = None, confidence: float = 0.95) -> DataFrame:

@@ -1,5 +1,605 @@
-"""Queries over the test tables, one per operator."""
+"""Queries over the test tables, one per operator of the inventory.
 
+Each takes (spark, sf_dir) and returns a DataFrame; floating-point results are rounded to
+9 digits, as the order of sums isn't fixed.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import bands as constants
+from .functions import geometry, scalars, stats
+from .operators import allocate, catchment, partitioning, quality, relational, survival, trend
+from .plans import mutation
+from .sources import star_world as star
+from .sources import worlds
+from .streaming import events as event_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _ALL[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_ALL)
+
+
+def r9(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 9)
+
+
+PRIMARY = constants.PRIMARY_ACCESS_BAND_MIN
+
+
+# --- catchments -------------------------------------------------------------------------
+
+
+@query
+def band_summary(spark, sf_dir):
+    w = star.world(spark, sf_dir)
+    out = catchment.band_summary(w.edges, w.providers, w.tracts)
+    doubles = ["pop_share_within", "access_sum", "access_mean", "access_max"]
+    return out.withColumns({c: r9(c) for c in doubles})
+
+
+@query
+def reached_by_band(spark, sf_dir):
+    return catchment.reached_by_band(star.edges(spark, sf_dir)).withColumn("band", F.col("band").cast("int"))
+
+
+@query
+def pop_share_by_band(spark, sf_dir):
+    out = catchment.pop_share_by_band(star.edges(spark, sf_dir), star.tracts(spark, sf_dir))
+    return out.select(F.col("band").cast("int").alias("band"), "reached_population", "total_population", r9("pop_share").alias("pop_share"))
+
+
+@query
+def provider_ratio(spark, sf_dir):
+    w = star.world(spark, sf_dir)
+    out = catchment.provider_ratio(w.edges, w.providers, w.tracts)
+    return out.select(F.col("band").cast("int").alias("band"), "provider_id", "catchment_population", r9("ratio").alias("ratio"))
+
+
+@query
+def tract_access(spark, sf_dir):
+    w = star.world(spark, sf_dir)
+    _, out = catchment.two_step(w.edges, w.providers, w.tracts)
+    return out.select(F.col("band").cast("int").alias("band"), "tract_id", r9("access").alias("access"))
+
+
+@query
+def tract_access_60(spark, sf_dir):
+    w = star.world(spark, sf_dir)
+    _, out = catchment.two_step(w.edges, w.providers, w.tracts, [PRIMARY])
+    return out.select("tract_id", r9("access").alias("access_60"), "population")
+
+
+@query
+def leave_one_out_coverage(spark, sf_dir):
+    return catchment.leave_one_out(star.edges(spark, sf_dir), star.tracts(spark, sf_dir), PRIMARY)
+
+
+@query
+def supply_conservation(spark, sf_dir):
+    w = star.world(spark, sf_dir)
+    ratio, access = catchment.two_step(w.edges, w.providers, w.tracts)
+    out = catchment.supply_conservation(ratio, access, w.providers)
+    return out.select(F.col("band").cast("int").alias("band"), "used_supply", F.round("weighted_access", 6).alias("weighted_access"))
+
+
+@query
+def provider_isolation(spark, sf_dir):
+    return catchment.isolation(star.edges(spark, sf_dir), star.providers(spark, sf_dir))
+
+
+@query
+def zero_access_share(spark, sf_dir):
+    w = star.world(spark, sf_dir)
+    _, access = catchment.two_step(w.edges, w.providers, w.tracts)
+    out = catchment.zero_share_pct(access, by=["band"])
+    return out.select(F.col("band").cast("int").alias("band"), r9("zero_share_pct").alias("zero_share_pct"))
+
+
+@query
+def nearest_provider_ranks(spark, sf_dir):
+    return catchment.nearest_providers(star.edges(spark, sf_dir), 3).select("tract_id", "provider_id", "minutes", "rank")
+
+
+# --- chunks -----------------------------------------------------------------------------
+
+
+def _chunks(spark, sf_dir, scheme, k=7):
+    return partitioning.assign_chunks(star.tracts(spark, sf_dir), k, scheme).select("tract_id", F.col("idx").cast("long").alias("idx"), "chunk")
+
+
+@query
+def chunks_even(spark, sf_dir):
+    return _chunks(spark, sf_dir, "even")
+
+
+@query
+def chunks_interleaved(spark, sf_dir):
+    return _chunks(spark, sf_dir, "interleaved")
+
+
+@query
+def chunks_uneven(spark, sf_dir):
+    return _chunks(spark, sf_dir, "uneven")
+
+
+@query
+def chunks_by_size(spark, sf_dir):
+    rows = partitioning.row_index(star.tracts(spark, sf_dir), "tract_id")
+    return rows.select("tract_id", partitioning.chunks_of_size(F.col("idx"), 10).alias("chunk"))
+
+
+@query
+def chunked_access(spark, sf_dir):
+    w = star.world(spark, sf_dir)
+    out = partitioning.chunked_access(w.edges, w.providers, w.tracts, PRIMARY, 7, "interleaved")
+    return out.select("tract_id", "chunk", r9("access").alias("access"))
+
+
+@query
+def chunk_accounting(spark, sf_dir):
+    dealt = partitioning.assign_chunks(star.tracts(spark, sf_dir), 7, "uneven")
+    out = partitioning.chunk_accounting(dealt, 7)
+    return out.withColumn("worker", partitioning.workers_of(F.col("chunk"), 3).cast("int"))
+
+
+# --- shares -----------------------------------------------------------------------------
+
+TOTAL = 1306
+
+
+def _nations(spark, sf_dir):
+    """A weight per nation: the people of its customers."""
+    people = star.table(spark, sf_dir, "customer").select("c_nationkey", F.floor(F.greatest("c_acctbal", F.lit(0.0))).cast("long").alias("people"))
+    sums = people.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum("people").alias("people"))
+    return star.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").join(sums, "n_nationkey", "left").fillna(0, ["people"])
+
+
+@query
+def allocate_proportional(spark, sf_dir):
+    out = allocate.allocate(_nations(spark, sf_dir), TOTAL, "people")
+    return out.select("n_nationkey", r9("allocated").alias("allocated"))
+
+
+@query
+def allocate_largest_remainder(spark, sf_dir):
+    out = allocate.allocate_integer(_nations(spark, sf_dir), TOTAL, "people", ["n_nationkey"])
+    return out.select("n_nationkey", "allocated")
+
+
+@query
+def allocation_deviation(spark, sf_dir):
+    totals = [1, 7, 49, 1000, 1306, 100000]
+    rows = _nations(spark, sf_dir).withColumn("total", F.explode(F.array(*[F.lit(t) for t in totals])))
+    exact = allocate.allocate(rows, F.col("total").cast("double"), "people", ["total"], "exact")
+    both = allocate.allocate_integer(exact, F.col("total"), "people", ["n_nationkey"], ["total"], "observed")
+    out = allocate.deviation_report(both, "observed", "exact", "total", ["total"])
+    return out.withColumn("max_abs_deviation", r9("max_abs_deviation"))
+
+
+# --- statistics -------------------------------------------------------------------------
+
+
+def _reached_by_nation(spark, sf_dir):
+    near = catchment.reached(star.edges(spark, sf_dir), PRIMARY).where("reached")
+    customers = star.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    joined = customers.join(near, F.col("c_custkey") == F.col("tract_id"), "left")
+    return joined.groupBy("c_nationkey").agg(F.count("tract_id").alias("x"), F.count(F.lit(1)).alias("n"))
+
+
+def _interval(df, ci):
+    return df.withColumn("ci", ci(F.col("x"), F.col("n"))).select("c_nationkey", "x", "n", *[r9(f"ci.{f}").alias(f) for f in ("estimate", "lower", "upper")])
+
+
+@query
+def wald_ci(spark, sf_dir):
+    return _interval(_reached_by_nation(spark, sf_dir), stats.wald_ci)
+
+
+@query
+def wilson_ci(spark, sf_dir):
+    return _interval(_reached_by_nation(spark, sf_dir), stats.wilson_ci)
+
+
+@query
+def moe_to_ci95(spark, sf_dir):
+    df = _reached_by_nation(spark, sf_dir)
+    return df.select("c_nationkey", r9(F.col("n") * F.lit(constants.MOE90_TO_CI95_FACTOR)).alias("half_width"))
+
+
+def _event_pairs(spark, sf_dir):
+    """Every two event types with their large events and all events."""
+    per = star.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 250).alias("x"), F.count(F.lit(1)).alias("n"))
+    a = per.select(F.col("event_type").alias("type_1"), F.col("x").alias("x1"), F.col("n").alias("n1"))
+    b = per.select(F.col("event_type").alias("type_2"), F.col("x").alias("x2"), F.col("n").alias("n2"))
+    return a.join(F.broadcast(b), F.col("type_1") < F.col("type_2"))  # a handful of types
+
+
+@query
+def two_prop_z(spark, sf_dir):
+    out = _event_pairs(spark, sf_dir).withColumn("t", stats.two_prop_z(*[F.col(c) for c in ("x1", "n1", "x2", "n2")]))
+    return out.select("type_1", "type_2", r9("t.z").alias("z"), r9("t.p").alias("p"))
+
+
+@query
+def two_prop_yates(spark, sf_dir):
+    out = _event_pairs(spark, sf_dir).withColumn("t", stats.two_prop_yates(*[F.col(c) for c in ("x1", "n1", "x2", "n2")]))
+    return out.select("type_1", "type_2", r9("t.chisq").alias("chisq"), r9("t.p").alias("p"))
+
+
+def _revenue(spark, sf_dir):
+    """Orders' total in millions by year and status."""
+    orders = star.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_orderstatus", "o_totalprice")
+    return orders.groupBy("year", "o_orderstatus").agg((F.sum("o_totalprice") / 1e6).alias("revenue"))
+
+
+@query
+def ols_slope(spark, sf_dir):
+    return _revenue(spark, sf_dir).groupBy("o_orderstatus").agg(F.round(stats.ols_slope("year", "revenue"), 6).alias("slope"))
+
+
+@query
+def annual_trend(spark, sf_dir):
+    out = trend.annual_trend(_revenue(spark, sf_dir), "year", "revenue", ["o_orderstatus"])
+    return out.select("o_orderstatus", "n", *[F.round(c, 6).alias(c) for c in ("slope", "lo", "hi", "p")])
+
+
+@query
+def mc_weighted_ci(spark, sf_dir):
+    nations = _reached_by_nation(spark, sf_dir).select("c_nationkey", "n", F.try_divide(F.col("x").cast("double"), F.col("n")).alias("est"))
+    nations = nations.withColumn("se", F.sqrt(F.col("est") * (1 - F.col("est")) / F.col("n")))
+    out = trend.mc_weighted_ci(nations, "est", "se", "n", 500, 20260816, "c_nationkey")
+    return out.select(*[r9(c).alias(c) for c in ("point", "lo", "hi")])
+
+
+@query
+def column_aggregates(spark, sf_dir):
+    c = F.col("value")
+    return star.table(spark, sf_dir, "events").groupBy("event_type").agg(F.min(c).alias("min_value"), F.max(c).alias("max_value"), F.round(F.avg(c), 6).alias("mean_value"), F.round(F.sum(c), 4).alias("sum_value"), F.count(c).alias("n"))
+
+
+# --- survival ---------------------------------------------------------------------------
+
+
+def _life_table(spark, sf_dir):
+    """Parts' sizes as ages: how many of those that came so far end here."""
+    sizes = star.table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    at_least = F.sum("n").over(Window.orderBy(F.col("age").desc()).rowsBetween(Window.unboundedPreceding, 0))  # a row per age
+    return sizes.select("age", (F.col("n") / at_least).alias("annual_hazard"))
+
+
+def _curve(spark, sf_dir):
+    return survival.survival_curve(_life_table(spark, sf_dir))
+
+
+@query
+def survival_curve(spark, sf_dir):
+    return _curve(spark, sf_dir).select("age", r9("annual_hazard").alias("annual_hazard"), r9("survival").alias("survival"))
+
+
+@query
+def hazard_from_survival(spark, sf_dir):
+    return survival.hazard_from_survival(_curve(spark, sf_dir)).select("age", r9("hazard").alias("hazard"))
+
+
+@query
+def survival_anchor_spread(spark, sf_dir):
+    curve = _curve(spark, sf_dir).withColumn("survival", 0.9 * F.col("survival"))
+    out = survival.anchor_spread(curve)
+    return out.select(r9("anchor_min").alias("anchor_min"), r9("anchor_max").alias("anchor_max"), (F.col("spread") < 1e-12).alias("constant"))
+
+
+@query
+def survival_violations(spark, sf_dir):
+    curve = _curve(spark, sf_dir)
+    broken = curve.where(F.col("age") % 7 != 0).withColumn("survival", F.when(F.col("age") % 5 == 0, F.col("survival") + 1).otherwise(F.col("survival")))
+    return survival.violations(broken)
+
+
+@query
+def hazard_direction(spark, sf_dir):
+    out = survival.head_tail(_life_table(spark, sf_dir), "annual_hazard")
+    return out.select(r9("head_mean").alias("head_mean"), r9("tail_mean").alias("tail_mean"), (F.col("tail_mean") > F.col("head_mean")).alias("rises"))
+
+
+@query
+def hazard_peak(spark, sf_dir):
+    by_brand = star.table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_size").alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    return survival.peak(by_brand, "n", ["p_brand"]).select("p_brand", "peak_age", "peak_value")
+
+
+@query
+def aligned_curves(spark, sf_dir):
+    """The curve, and those with retirements two years later and earlier, on common ages."""
+    life = _life_table(spark, sf_dir)
+    curves = [survival.survival_curve(survival.shift_hazard(life, k)) for k in (0, 2, -2)]
+    out = survival.align(curves, "survival", ["base", "later", "earlier"])
+    return out.select("age", *[r9(c).alias(c) for c in ("base", "later", "earlier")])
+
+
+# --- scalars ----------------------------------------------------------------------------
+
+
+def _customers(spark, sf_dir):
+    return star.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+
+
+@query
+def canon_id(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    shape = F.pmod(k, F.lit(8))
+    raw = (
+        F.when(shape == 0, F.lpad(text, 10, "1"))
+        .when(shape == 1, text)
+        .when(shape == 2, F.concat(F.lit(" 12-34."), text, F.lit(" ")))
+        .when(shape == 3, F.concat(F.lit("abc"), text))
+        .when(shape == 4, F.concat(text, F.lit("e9")))
+        .when(shape == 5, F.concat(F.lit("-"), text))
+        .when(shape == 6, F.concat(F.lit("1234567890"), text))
+        .otherwise(F.when(k % 16 == 7, F.lit("")).otherwise(F.concat(F.lit("("), text, F.lit(")"))))
+    )
+    return _customers(spark, sf_dir).select("c_custkey", scalars.canon_id(raw).alias("canon"))
+
+
+@query
+def rurality(spark, sf_dir):
+    k = F.col("c_custkey")
+    code = F.when(k % 11 == 0, F.lit(None).cast("double")).when(k % 13 == 0, F.lit(3.5)).otherwise((1 + k % 10).cast("double"))
+    return _customers(spark, sf_dir).select("c_custkey", scalars.rurality(code).alias("rurality"), scalars.rurality(code, ("Metropolitan", "Rural")).alias("label"))
+
+
+@query
+def safe_divide(spark, sf_dir):
+    k = F.col("c_custkey")
+    d = F.when(k % 9 == 0, F.lit(None).cast("double")).when(k % 7 == 0, F.lit(float("nan"))).otherwise((k % 5).cast("double"))
+    return _customers(spark, sf_dir).select("c_custkey", r9(scalars.safe_divide(F.col("c_acctbal"), d)).alias("quotient"))
+
+
+# --- geometry ---------------------------------------------------------------------------
+
+HALF_SIDE = 0.08
+
+
+def _squares(spark, sf_dir):
+    return star.points(spark, sf_dir).withColumn("ring", geometry.square(F.col("lon"), F.col("lat"), HALF_SIDE))
+
+
+@query
+def haversine(spark, sf_dir):
+    p = star.provider_points(spark, sf_dir)
+    t = star.points(spark, sf_dir).select(F.col("tract_id"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
+    pairs = star.edges(spark, sf_dir).select("provider_id", "tract_id").join(p, "provider_id").join(t, "tract_id")
+    km = geometry.haversine_km(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat"))
+    return pairs.select("provider_id", "tract_id", F.round(km, 6).alias("km"))
+
+
+@query
+def tract_squares(spark, sf_dir):
+    corners = _squares(spark, sf_dir).select("tract_id", F.posexplode("ring").alias("pos", "p"))
+    return corners.select("tract_id", "pos", r9("p.x").alias("x"), r9("p.y").alias("y"), F.lit(geometry.GEOGRAPHIC_SRID).alias("srid"))
+
+
+@query
+def albers_xy(spark, sf_dir):
+    out = star.points(spark, sf_dir).withColumn("p", geometry.albers(F.col("lon"), F.col("lat")))
+    return out.select("tract_id", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+@query
+def tract_area(spark, sf_dir):
+    out = _squares(spark, sf_dir).withColumn("area", geometry.area(geometry.project(F.col("ring"))))
+    return out.select("tract_id", F.round(F.col("area") / 1e6, 6).alias("km2"), F.col("area").between(1e7, 1e9).alias("plausible"))
+
+
+def _discs(spark, sf_dir):
+    p = star.provider_points(spark, sf_dir).withColumn("c", geometry.albers(F.col("lon"), F.col("lat")))
+    p = p.withColumn("band", F.explode(F.array(*[F.lit(b) for b in constants.CANONICAL_BANDS])))
+    return p.withColumn("radius", geometry.band_radius(F.col("band"))).withColumn("ring", geometry.disc(F.col("c.x"), F.col("c.y"), F.col("radius")))
+
+
+@query
+def band_discs(spark, sf_dir):
+    out = _discs(spark, sf_dir)
+    return out.select("provider_id", "band", (F.size("ring") - 1).alias("n_points"), F.round(geometry.area(F.col("ring")) / 1e6, 4).alias("km2"))
+
+
+@query
+def band_containment(spark, sf_dir):
+    """Each band against the next larger one, by clipping rings, and the other way round."""
+    d = _discs(spark, sf_dir).select("provider_id", "band", "ring", "radius")
+    after = F.lead(F.struct("band", "ring")).over(Window.partitionBy("provider_id").orderBy("band"))
+    pairs = d.withColumn("next", after).where("next IS NOT NULL")
+
+    def outside(a: Column, b: Column) -> Column:
+        return 1 - geometry.area(geometry.clip_convex(a, b)) / geometry.area(a)
+
+    tolerance = constants.TOL_GEOMETRY_FRACTION
+    return pairs.select("provider_id", "band", F.col("next.band").alias("outer_band"), (outside(F.col("ring"), F.col("next.ring")) <= tolerance).alias("inside"), (outside(F.col("next.ring"), F.col("ring")) <= tolerance).alias("reversed"))
+
+
+@query
+def bbox(spark, sf_dir):
+    out = _squares(spark, sf_dir).withColumn("b", geometry.bbox(F.col("ring")))
+    sides = {"xmin": F.min, "ymin": F.min, "xmax": F.max, "ymax": F.max}
+    return out.agg(*[r9(f(f"b.{c}")).alias(c) for c, f in sides.items()]).withColumn("swapped", ~((F.col("xmax") < 0) & (F.col("ymin") > 0)))
+
+
+@query
+def point_in_polygon(spark, sf_dir):
+    """Each tract's point in its own square, and in that of a point next door."""
+    out = _squares(spark, sf_dir)
+    ring = F.col("ring")
+    return out.select("tract_id", geometry.contains_point(ring, F.col("lon"), F.col("lat")).alias("own"), geometry.contains_point(ring, F.col("lon") + 1.5 * HALF_SIDE, F.col("lat")).alias("beside"))
+
+
+def _shapes(spark, sf_dir):
+    """A shape per tract: square, bow-tie, empty, speck."""
+    x, y, k = F.col("lon"), F.col("lat"), F.col("tract_id") % 4
+    bow = F.array(*[geometry.point(x + i, y + j) for i, j in ((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))])
+    empty = F.slice(bow, 1, 0)
+    shape = F.when(k == 0, geometry.square(x, y, HALF_SIDE)).when(k == 1, bow).when(k == 2, empty).otherwise(geometry.square(x, y, 1e-9))
+    return star.points(spark, sf_dir).select("tract_id", shape.alias("ring"), F.when(k == 3, F.lit(None).cast("int")).otherwise(F.lit(geometry.GEOGRAPHIC_SRID)).alias("srid"))
+
+
+@query
+def shape_validity(spark, sf_dir):
+    ring = F.col("ring")
+    return _shapes(spark, sf_dir).select("tract_id", geometry.is_empty(ring).alias("empty"), geometry.is_valid(ring).alias("valid"), F.col("srid").isNotNull().alias("known_srid"))
+
+
+@query
+def repaired_parts(spark, sf_dir):
+    """Shapes made valid, as one row for each of their parts."""
+    parts = _shapes(spark, sf_dir).select("tract_id", F.posexplode(geometry.make_valid_bowtie(F.col("ring"))).alias("part", "ring"))
+    return parts.where(~geometry.is_empty(F.col("ring"))).select("tract_id", "part", geometry.is_valid(F.col("ring")).alias("valid"), F.round(geometry.area(F.col("ring")), 9).alias("area"))
+
+
+@query
+def square_overlap(spark, sf_dir):
+    """Area of union and difference of each square with its copy half a side to the east."""
+    x, y = F.col("lon"), F.col("lat")
+    a, b = geometry.square(x, y, HALF_SIDE), geometry.square(x + HALF_SIDE, y, HALF_SIDE)
+    both = geometry.area(geometry.clip_convex(a, b))
+    return star.points(spark, sf_dir).select("tract_id", F.round(geometry.area(a) + geometry.area(b) - both, 9).alias("union_area"), F.round(geometry.area(a) - both, 9).alias("difference_area"))
+
+
+# --- relational and quality -------------------------------------------------------------
+
+
+@query
+def duplicate_keys(spark, sf_dir):
+    lines = star.table(spark, sf_dir, "lineitem")
+    return relational.duplicate_keys(lines, ["l_suppkey", "l_partkey"])
+
+
+@query
+def set_algebra(spark, sf_dir):
+    customers = star.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    buyers = star.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    return relational.set_report(customers, buyers)
+
+
+@query
+def semi_anti(spark, sf_dir):
+    customers = star.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    buyers = star.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    also = relational.also_in(customers, buyers, ["c_custkey"]).withColumn("buys", F.lit(True))
+    return also.unionByName(relational.only_in(customers, buyers, ["c_custkey"]).withColumn("buys", F.lit(False)))
+
+
+@query
+def relabelled_access(spark, sf_dir):
+    """Access after renaming every tract, under the old names again."""
+    w = star.world(spark, sf_dir)
+    names = w.tracts.select(F.col("tract_id").alias("old"), (F.col("tract_id") * 3 + 1).alias("new"))
+    edges, tracts = relational.relabel(w.edges, names, "tract_id"), relational.relabel(w.tracts, names, "tract_id")
+    _, access = catchment.two_step(edges, w.providers, tracts, [PRIMARY])
+    return access.select(((F.col("tract_id") - 1) / 3).cast("long").alias("tract_id"), r9("access").alias("access"))
+
+
+@query
+def scaled_access(spark, sf_dir):
+    """Ten times the people everywhere: a tenth of the access."""
+    w = star.world(spark, sf_dir)
+    tracts = relational.scaled(w.tracts, "population", 10.0)
+    _, access = catchment.two_step(w.edges, w.providers, tracts, [PRIMARY])
+    return access.select("tract_id", r9(F.col("access") * 10).alias("access_times_10"))
+
+
+@query
+def numeric_diff(spark, sf_dir):
+    """Access at 60 against 120 minutes: where and how far they differ."""
+    w = star.world(spark, sf_dir)
+    _, access = catchment.two_step(w.edges, w.providers, w.tracts, [PRIMARY, 120])
+    out = quality.numeric_diff(access.where(F.col("band") == PRIMARY), access.where("band = 120"), ["tract_id"], "access", label="60 against 120")
+    return out.withColumns({c: r9(c) for c in ("observed", "expected", "rel_diff")})
+
+
+@query
+def drift_report(spark, sf_dir):
+    now = star.table(spark, sf_dir, "supplier")
+    moved = now.where("s_suppkey % 50 <> 0").withColumns({"s_acctbal": F.when(F.col("s_suppkey") % 20 == 0, F.col("s_acctbal") + 0.5).otherwise(F.col("s_acctbal")), "s_name": F.when(F.col("s_suppkey") % 25 == 0, F.lit("changed")).otherwise(F.col("s_name"))})
+    out = quality.drift_report(moved.withColumn("extra", F.lit(1)), now, ["s_suppkey"])
+    return out.withColumn("max_abs_diff", r9("max_abs_diff"))
+
+
+@query
+def run_verdicts(spark, sf_dir):
+    """Orders as test results: priorities are files, statuses their outcomes; one was planned and never ran."""
+    o = star.table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    results = o.select(
+        F.col("o_orderpriority").alias("file"),
+        (status == "O").cast("int").alias("passed"),
+        ((status == "P") & (F.col("o_orderpriority") == "1-URGENT")).cast("int").alias("failed"),
+        F.lit(0).alias("error"),
+        (status == "F").cast("int").alias("skipped"),
+    )
+    planned = o.select(F.col("o_orderpriority").alias("file")).distinct().unionByName(spark.range(1).select(F.lit("never").alias("file")))
+    return quality.run_verdicts(results, planned)
+
+
+@query
+def world_contract_violations(spark, sf_dir):
+    """A world with a repeated provider, edges to nowhere and bad minutes."""
+    w = star.world(spark, sf_dir)
+    providers = w.providers.unionByName(w.providers.where("provider_id % 40 = 1"))
+    tracts = w.tracts.where("tract_id % 100 <> 3")
+    edges = w.edges.withColumn("minutes", F.when(F.col("tract_id") % 500 == 5, F.lit(None).cast("double")).otherwise(F.col("minutes")))
+    return quality.validate(star.World(providers, tracts, edges))
+
+
+@query
+def travel_matrix(spark, sf_dir):
+    """Travel times of the first suppliers' and nations' grid: a full matrix of two small tables."""
+    p = star.provider_points(spark, sf_dir)
+    lon, lat = star.scattered(F.col("n_nationkey"))
+    t = star.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tract_id"), lon.alias("lon"), lat.alias("lat"))
+    out = worlds.travel_matrix(p, t, 99)
+    return out.select("provider_id", "tract_id", F.round("minutes", 6).alias("minutes"), F.round("km", 6).alias("km"))
+
+
+@query
+def prevalence_contract(spark, sf_dir):
+    """Conditions whose prevalence breaks a rule: outside 0..1, or above that of any."""
+    rows = spark.createDataFrame(list(constants.WU2014_PFD_PREVALENCE), "condition string, p_65_79 double, p_80plus double")
+    whole = rows.where("condition = 'any_PFD'").select(F.col("p_65_79").alias("a"), F.col("p_80plus").alias("b"))
+    joined = rows.crossJoin(F.broadcast(whole))
+    good = F.col("p_65_79").between(0, 1) & F.col("p_80plus").between(0, 1) & (F.col("p_65_79") <= F.col("a")) & (F.col("p_80plus") <= F.col("b"))
+    return joined.select("condition", "p_65_79", "p_80plus", good.alias("holds"))
+
+
+@query
+def mutation_report(spark, sf_dir):
+    """All mutants of the engine: which were noticed. Reads no table."""
+    return mutation.report(spark)
+
+
+@query
+def event_windows(spark, sf_dir):
+    out = event_stream.windowed_value(star.table(spark, sf_dir, "events"))
+    return out.select("window_start", "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query
+def shuffled_rank(spark, sf_dir):
+    """Suppliers in a seeded order: each one's place by hash."""
+    s = star.table(spark, sf_dir, "supplier").select("s_suppkey", worlds.uniform(7, F.col("s_suppkey")).alias("u"))
+    return s.select("s_suppkey", F.round("u", 9).alias("u"))
+
+
+assert math.isclose(constants.MOE90_TO_CI95_FACTOR, 1.1915735, rel_tol=1e-7)
