@@ -62,6 +62,13 @@ def ship(spark: SparkSession) -> None:
     sc._catchment_engine = True
 
 
+def sliced(batches, rows: int = 512):
+    """Batches in slices of some rows: what Python makes of a slice is gone before the next."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 _own: dict[str, str] = {}
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import sliced, stage
 from .components import connected_components
 from .hashing import grouped, mix64, shingle_sets
 
@@ -76,7 +76,7 @@ def _sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
+        for b in sliced(batches):
             n, keys, new, where = [], [], [], []
             for texts in grouped(b.column(1).cast(pa.binary()).to_pylist(), GROUP):
                 sets = shingle_sets([t.lower() if t else None for t in texts], words)
@@ -128,7 +128,7 @@ def _sets_of(docs: DataFrame, passing: np.ndarray, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.int64)
         seen: set[bytes] = set()
-        for b in batches:
+        for b in sliced(batches):
             ids = b.column(0)
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
             at = _positions(number, bits)
