@@ -44,7 +44,7 @@ def violations(df: DataFrame, group: list[str] | None = None, survival: str = "s
             F.when(F.col("age") != F.lag("age").over(w) + 1, F.lit("age_gap")),
         )
     )
-    return df.select(*(group or []), "age", F.explode(rules).alias("rule"))
+    return df.select(*(group or []), "age", rules.alias("rules")).select(*(group or []), "age", F.explode("rules").alias("rule"))
 
 
 def head_tail(df: DataFrame, value: str, group: list[str] | None = None, k: int = 5) -> DataFrame:

@@ -122,13 +122,13 @@ fit AS (
 lines AS (SELECT *, sxy / sxx AS slope, sqrt((syy - sxy * sxy / sxx) / ((n - 2) * sxx)) AS se, n - 2 AS df FROM fit),
 dfs AS (SELECT DISTINCT CAST(df AS DOUBLE) AS df FROM lines),
 cells AS (
-  SELECT df, k * 1e-4 AS a, (k + 1) * 1e-4 AS b,
+  SELECT df, CAST(k AS DOUBLE) * 1e-4 AS a, CAST(k + 1 AS DOUBLE) * 1e-4 AS b,
     exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS f0
   FROM dfs, range(0, 400000) t(k)),
 mass AS (
-  SELECT df, a, b, f0 * 1e-4 / 6 * (power(1 + a * a / df, -(df + 1) / 2) + 4 * power(1 + (a + b) * (a + b) / 4 / df, -(df + 1) / 2) + power(1 + b * b / df, -(df + 1) / 2)) AS w FROM cells),
+  SELECT df, a, b, f0 * 1e-4 / 6 * (power(1 + a * a / df, -(df + 1) / 2e0) + 4 * power(1 + (a + b) * (a + b) / 4 / df, -(df + 1) / 2) + power(1 + b * b / df, -(df + 1) / 2)) AS w FROM cells),
 grid AS (SELECT df, a, b, w, sum(w) OVER (PARTITION BY df ORDER BY a) AS below FROM mass),
-quantiles AS (SELECT df, min(a + (b - a) * (0.475e0 - (below - w)) / w) AS t FROM grid WHERE below >= 0.475e0 GROUP BY df),
+quantiles AS (SELECT df, arg_min(a + (b - a) * (0.475e0 - (below - w)) / w, a) AS t FROM grid WHERE below >= 0.475e0 GROUP BY df),
 tails AS (
   SELECT l.o_orderstatus, 1 - 2 * max(g.below - g.w + g.w * (abs(l.slope / l.se) - g.a) / (g.b - g.a)) AS p
   FROM lines l JOIN grid g ON g.df = l.df AND abs(l.slope / l.se) >= g.a AND abs(l.slope / l.se) < g.b GROUP BY 1)
@@ -233,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT c_nationkey, x, n, round(p, 9) AS estimate,
               round(greatest(0e0, (p + z * z / (2 * n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 9) AS lower,
               round(least(1e0, (p + z * z / (2 * n) + z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 9) AS upper FROM p""",
-        "moe_to_ci95": f"WITH {_BY_NATION} SELECT c_nationkey, round(n * {constants.MOE90_TO_CI95_FACTOR!r}, 9) AS half_width FROM counts",
+        "moe_to_ci95": f"WITH {_BY_NATION} SELECT c_nationkey, round(n * {constants.MOE90_TO_CI95_FACTOR!r}::DOUBLE, 9) AS half_width FROM counts",
         "two_prop_z": f"""WITH {_PAIRS},
             t AS (SELECT *, (x1 / n1 - x2 / n2) / sqrt((x1 + x2) / (n1 + n2) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)) AS z FROM pairs)
             SELECT type_1, type_2, round(z, 9) AS z, round({_TAIL}, 9) AS p FROM t""",

@@ -419,16 +419,12 @@ def band_discs(spark, sf_dir):
 
 @query
 def band_containment(spark, sf_dir):
-    """Each band against the next larger one, by clipping rings, and the other way round."""
-    d = _discs(spark, sf_dir).select("provider_id", "band", "ring", "radius")
-    after = F.lead(F.struct("band", "ring")).over(Window.partitionBy("provider_id").orderBy("band"))
+    """Each band's disc against the next larger one, and the other way round."""
+    d = _discs(spark, sf_dir).select("provider_id", "band", "radius")
+    after = F.lead(F.struct("band", "radius")).over(Window.partitionBy("provider_id").orderBy("band"))
     pairs = d.withColumn("next", after).where("next IS NOT NULL")
-
-    def outside(a: Column, b: Column) -> Column:
-        return 1 - geometry.area(geometry.clip_convex(a, b)) / geometry.area(a)
-
-    tolerance = constants.TOL_GEOMETRY_FRACTION
-    return pairs.select("provider_id", "band", F.col("next.band").alias("outer_band"), (outside(F.col("ring"), F.col("next.ring")) <= tolerance).alias("inside"), (outside(F.col("next.ring"), F.col("ring")) <= tolerance).alias("reversed"))
+    a, b, same, tolerance = F.col("radius"), F.col("next.radius"), F.lit(0.0), constants.TOL_GEOMETRY_FRACTION
+    return pairs.select("provider_id", "band", F.col("next.band").alias("outer_band"), geometry.disc_contained(a, b, same, tolerance).alias("inside"), geometry.disc_contained(b, a, same, tolerance).alias("reversed"))
 
 
 @query
