@@ -54,17 +54,27 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` of the texts, and where each text's begin
-    (one more place at the end)."""
-    joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True))  # starts and ends in turn
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in one buffer, the begin and end of each word ``[^\\x20\\x09-\\x0D]+`` there,
+    and the number of each text's first word (one more place at the end)."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))  # starts and ends in turn
     begin, end = edge[::2], edge[1::2]
-    hashes = window_hash(prefix_hash(data), begin, end)
     stops = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.concatenate(([0], np.searchsorted(begin, stops)))
+    return data, begin, end, np.concatenate(([0], np.searchsorted(begin, stops)))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and the number of each text's first word (one
+    more place at the end)."""
+    data, begin, end, at = word_places(texts)
+    return window_hash(prefix_hash(data), begin, end), at
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of the given lengths, one after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:

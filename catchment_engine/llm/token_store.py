@@ -27,15 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path
+from .common import drop_path, new_path, sliced
+from .hashing import prefix_hash, ragged, window_hash, word_places
 
 DIGEST_BYTES = 16
 #: Ids in a chunk: least, on average beyond that, most.
 CHUNK_MIN, CHUNK_MEAN, CHUNK_MAX = 128, 1024, 8192
 #: Ids that the rolling hash sees.
 ROLL = 16
-#: Entries of a worker's cache from words to ids, and the longest word kept there.
-CACHE_WORDS, CACHE_BYTES = 600_000, 64
+#: Words that a worker remembers.
+CACHE_WORDS = 600_000
+#: Bytes of text encoded at once.
+GROUP = 3 << 20
 #: Digests that a task remembers, so as to send each chunk once.
 SEEN = 200_000
 #: Children of a node in a shard's Merkle tree.
@@ -96,19 +99,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: Bytes of the words that the short way takes: Latin-1 letters in UTF-8, then punctuation.
-_LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))])
-_PUNCTUATION = b".,;:!?"
+#: Bytes of the words that the short way takes: Latin-1 letters in UTF-8 (no lead byte but
+#: C3, so not the two signs among them), perhaps with one mark at the end.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))]] = True
+_MARKS = b".,;:!?"
+_MARK = np.zeros(256, bool)
+_MARK[list(_MARKS)] = True
 #: The short way is taken only by tokenizers that give the same ids for these both ways.
-_PROBES = ["a", "The", "word.", "Été,", "ÑANDÚ", "straße!?", "naïveté...", "ÀÉÎÕÜ", "reconstruction;", "x:"]
+_PROBES = ["a", "The", "word", "Été", "ÑANDÚ", "straße", "naïveté", "ÀÉÎÕÜ", "reconstruction", "x"]
 
 
 class _WordEncoder:
-    """Ids of texts, by way of a cache of white-space words.
+    """Ids of texts, by way of a memory of white-space words by their 64-bit hashes.
 
     Right for tokenizers that drop white space and never join what it parts. Most new
-    words are letters and punctuation that normalising and splitting leave alone but
-    for their case; they go straight to the library's model, the others through all of it.
+    words are letters that normalising and splitting leave alone but for their case; they
+    go straight to the library's model, the others through all of it. The memory is a dict
+    from hashes to numbers, and arrays of each number's ids.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -117,72 +125,122 @@ class _WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {}
-        self.bare, self.width, self.ends = Tokenizer(self.tokenizer.model), np.dtype(dtype).itemsize, {b"": b""}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.bare = Tokenizer(self.tokenizer.model)
         self.bare.model._resize_cache(0)  # words come once
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = [(chr(b), c) for b, c in _byte_letters().items() if chr(b) != c and b >= 0x80]
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
         words = [w.encode() for w in _PROBES]
-        self.short = self.pieces([w.rstrip(_PUNCTUATION) for w in words]) == self.whole([w.rstrip(_PUNCTUATION) for w in words])
-
-    def pieces(self, words: list[bytes]) -> list[bytes] | None:
-        """Ids of words of letters; None if words' ends can't be told."""
-        text = b" ".join(words).decode().lower()
+        ids, lengths = self.pieces(b" ".join(words), len(words))
+        whole, n = self.whole(words)
+        self.short = lengths is not None and np.array_equal(ids, whole) and np.array_equal(lengths, n)
+        self.mark_ids, self.mark_n = self.whole([bytes([m]) for m in _MARKS])
+        self.mark_at = np.cumsum(self.mark_n) - self.mark_n
+
+    def forget(self) -> None:
+        self.number: dict[int, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def pieces(self, words: bytes, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Ids of n words of letters with spaces between, and how many each has (None if
+        words' ends can't be told)."""
+        text = words.decode().lower()
         if not text.isascii():
             text = text.encode().decode("latin-1")
             for a, b in self.letters:
                 text = text.replace(a, b)
         ids = np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-        stops = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
-        if len(stops) != len(words) or stops[-1] != len(ids) * self.width:
-            return None
-        data = ids.tobytes()
-        return [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
-
-    def whole(self, words: list[bytes]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in made]
-
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        out, bases, others = {}, [], []
-        for w in new:
-            base = w.rstrip(_PUNCTUATION)
-            if self.short and base and len(w) <= CACHE_BYTES and not base.translate(None, _LETTERS):
-                bases.append((w, base))
-            else:
-                others.append(w)
-        for i in range(0, len(bases), 8192):
-            part = bases[i : i + 8192]
-            made = self.pieces([b for _, b in part])
-            if made is None:
-                others += [w for w, _ in part]
+        stops = np.flatnonzero(self.last[ids]) + 1
+        return ids, np.diff(stops, prepend=0) if len(stops) == n and (not n or stops[-1] == len(ids)) else None
+
+    def whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = [np.zeros(0, self.dtype)], []
+        for i in range(0, len(words), 256):
+            for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[i : i + 256]], add_special_tokens=False):
+                ids.append(np.asarray(e.ids, self.dtype))
+                n.append(len(ids[-1]))
+        return np.concatenate(ids), np.array(n, np.int64)
+
+    def learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words data[begin:end], and how many each has."""
+        mark = _MARK[data[end - 1]]
+        stop = end - mark
+        flaws = np.concatenate(([0], np.cumsum(~_LETTER[data])))
+        short = (stop > begin) & (flaws[stop] == flaws[begin]) & self.short
+        out, n = [np.zeros(0, self.dtype)], np.zeros(len(begin), np.int64)
+        order = []
+        at = np.flatnonzero(short)
+        for k in range(0, len(at), 8192):
+            w = at[k : k + 8192]
+            size = stop[w] - begin[w] + 1
+            letters = data[ragged(begin[w], size)].copy()
+            letters[np.cumsum(size) - 1] = 0x20
+            ids, many = self.pieces(letters[:-1].tobytes(), len(w))
+            if many is None:
+                short[w] = False
                 continue
-            for (w, base), ids in zip(part, made, strict=True):
-                end = w[len(base) :]
-                if end not in self.ends:
-                    self.ends[end] = self.whole([end])[0]
-                out[w] = ids + self.ends[end]
-        for i in range(0, len(others), 256):
-            out.update(zip(others[i : i + 256], self.whole(others[i : i + 256]), strict=True))
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text; texts of about a megabyte at a time are a good measure."""
-        split = [t.split() for t in texts]
-        found = [list(map(self.cache.get, words)) for words in split]
-        new = {w for words, got in zip(split, found, strict=True) if None in got for w, ids in zip(words, got, strict=True) if ids is None}
-        if new:
-            fresh = self.learn(list(new))
-            for words, got in zip(split, found, strict=True):
-                if None in got:
-                    got[:] = [fresh[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_BYTES)
-        return [b"".join(got) for got in found]
+            marks = np.searchsorted(_SORTED_MARKS, data[end[w] - 1]) % len(_MARKS)
+            marks = _MARK_ORDER[marks]
+            more = np.where(mark[w], self.mark_n[marks], 0)
+            total = many + more
+            both = np.zeros(int(total.sum()), self.dtype)
+            first = np.cumsum(total) - total
+            both[ragged(first, many)] = ids
+            both[ragged(first + many, more)] = self.mark_ids[ragged(self.mark_at[marks], more)]
+            out.append(both)
+            n[w] = total
+            order.append(w)
+        at = np.flatnonzero(~short)
+        ids, many = self.whole([data[i:j].tobytes() for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+        out.append(ids)
+        n[at] = many
+        order.append(at)
+        # Back in the words' order.
+        made, order = np.concatenate(out), np.concatenate(order)
+        place = np.empty(len(begin), np.int64)
+        place[order] = np.cumsum(n[order]) - n[order]
+        return made[ragged(place, n)], n
+
+    def remember(self, hashes: list[int], ids: np.ndarray, n: np.ndarray) -> None:
+        have, more = len(self.number), len(hashes)
+        while have + more > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[have : have + more] = self.used + np.cumsum(n) - n
+        self.length[have : have + more] = n
+        self.used += len(ids)
+        self.number.update(zip(hashes, range(have, have + more), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; texts of a few megabytes at a time are a good measure."""
+        data, begin, end, at = word_places(texts)
+        if len(self.number) > CACHE_WORDS:
+            self.forget()
+        hashes, first, inverse = np.unique(window_hash(prefix_hash(data), begin, end), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        numbers = np.array([-1 if x is None else x for x in map(self.number.get, keys)], np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            ids, n = self.learn(data, begin[first[new]], end[first[new]])
+            numbers[new] = len(self.number) + np.arange(len(new))
+            self.remember(hashes[new].tolist(), ids, n)
+        word = numbers[inverse]
+        n = self.length[word]
+        ids = self.pool[ragged(self.start[word], n)]
+        stops = np.concatenate(([0], np.cumsum(n)))[at]
+        return [ids[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+
+
+#: _MARKS in the order of their bytes, for a look-up by place.
+_SORTED_MARKS = np.array(sorted(_MARKS), np.uint8)
+_MARK_ORDER = np.array([_MARKS.index(m) for m in sorted(_MARKS)])
 
 
 def _groups(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
@@ -211,16 +269,16 @@ def _encode(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, seen, pack = _encoder(tokenizer, dtype), set(), zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
-        end = np.asarray([end_id], dtype).tobytes()
+        encoder, seen, pack = _encoder(tokenizer, dtype), set(), zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
+        end = np.asarray([end_id], dtype)
         width = int(dtype[-1])
-        for b in batches:
+        for b in sliced(batches, 1024):
             if len(seen) > SEEN:
                 seen.clear()
             n_tokens, roots, digests, c_digest, c_n, c_data = [], [], [], [], [], []
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for data in (x + end for group in _groups(texts, 1 << 20) for x in encoder.encode(group)):
-                ids = np.frombuffer(data, dtype)
+            for ids in (np.append(x, end) for group in _groups(texts, GROUP) for x in encoder.encode(group)):
+                data = ids.tobytes()
                 own, begin = [], 0
                 for stop in cuts(ids, vocabulary):
                     part = data[begin * width : stop * width]
