@@ -203,7 +203,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         part = _block(keyed, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), window, slop, "__key")
         part = part.withColumn("pass", F.lit(k))
         merged = part if merged is None else merged.unionByName(part)
-    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.array(F.sequence(s["start"], s["end"] - 1))))))))
+    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))))
     out = merged.groupBy("doc_id").agg(
         (F.count(F.lit(1)) / blocks).cast("int").alias("rows"),
         F.first("n_words").alias("n_words"),
