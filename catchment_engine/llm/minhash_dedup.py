@@ -32,8 +32,8 @@ PERCENT, WORDS = 80, 2
 FILTER_BITS = 1 << 26
 #: Bytes of text hashed at once.
 GROUP = 1 << 20
-#: Set elements in a block of nodes.
-BLOCK_SHINGLES = 16_384
+#: Set elements and nodes in a block, about.
+BLOCK_SHINGLES, BLOCK_NODES = 16_384, 128
 #: Nodes without a document id are numbered from here.
 NO_ID = 1 << 62
 
@@ -170,7 +170,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
     second = first.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-    return second.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return second.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _labelled(df: DataFrame, labels: DataFrame | None, column: str, to: str) -> DataFrame:
@@ -192,32 +192,48 @@ def _residual(members: DataFrame, banded: DataFrame, sets: DataFrame, labels: Da
     open_bands = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("m"), F.max_by("c", F.struct("k", -F.col("c"))).alias("main")).where("parts > 1 AND m > 2")
     left = of.join(open_bands.select("band", "main"), "band").withColumn("query", F.col("c") != F.col("main"))
     left = stage(left, "minhash-unsettled")
-    blocks = left.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("t_blocks"), F.ceil(F.sum(F.when(F.col("query"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).alias("q_blocks"))
-    details = left.select("node").distinct().join(banded.select("node", "bands"), "node").join(sets, "node")
-    full = left.join(blocks, "band").join(details, "node")
+    blocks = lambda column: F.ceil(F.greatest(F.sum(F.when(column, F.col("n")).otherwise(0)) / BLOCK_SHINGLES, F.count_if(column) / BLOCK_NODES)).cast("long")
+    counts = left.groupBy("band").agg(blocks(F.lit(True)).alias("t_blocks"), blocks(F.col("query")).alias("q_blocks"))
+    details = stage(left.select("node").distinct().join(banded.select("node", "bands"), "node").join(sets, "node"), "minhash-details")
+    full = stage(left.join(counts, "band").join(details, "node"), "minhash-compared")
     member = F.struct("node", "c", "rep", "elements", "bands")
     side = lambda df, n, name: df.withColumn("block", F.pmod(F.xxhash64("node"), F.col(n))).groupBy("band", "block").agg(F.collect_list(member).alias(name)).drop("block")
     pairs = side(full.where("query"), "q_blocks", "q").join(side(full, "t_blocks", "t"), "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k in range(b.num_rows):
-                band, q, t = (b.column(i)[k].as_py() for i in range(3))
-                for side_ in (q, t):
-                    for x in side_:
-                        x["set"], x["smaller"] = np.frombuffer(x["elements"], np.uint64), {v for v in x["bands"] if v < band}
-                for x in q:
-                    for y in t:
-                        if x["c"] == y["c"] or x["rep"] in (x["node"], y["node"]) or not x["smaller"].isdisjoint(y["smaller"]):
-                            continue
-                        if _similar(x["set"], y["set"], percent):
-                            out.append((min(x["node"], y["node"]), max(x["node"], y["node"])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["a", "b"])
+        for b in sliced(batches, 8):
+            found = [_compare_blocks(b.column(0)[k].as_py(), b.column(1)[k].values, b.column(2)[k].values, percent) for k in range(b.num_rows)]
+            a, z = (np.concatenate([f[i] for f in found]) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], ["a", "b"])
 
     return pairs.select("band", "q", "t").mapInArrow(run, "a long, b long").distinct()
 
 
+def _compare_blocks(band: int, q: pa.StructArray, t: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of two blocks' nodes, of those in different components, of which none
+    is the bucket's first, and that share no bucket of a smaller key."""
+    column = lambda x, name: x.field(name).to_numpy(zero_copy_only=False)
+    qn, tn = column(q, "node"), column(t, "node")
+    qb, tb = (x.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in (q, t))
+    rep = column(q, "rep")[0]
+    earlier = ((qb[:, None, :] == tb[None, :, :]) & (qb < band)[:, None, :]).any(2)
+    due = (column(q, "c")[:, None] != column(t, "c")[None, :]) & ~earlier & (qn != rep)[:, None] & (tn != rep)[None, :]
+    rows, cols = np.flatnonzero(due.any(1)), np.flatnonzero(due.any(0))
+    if not len(rows):
+        return qn[:0], tn[:0]
+    qs, ts = ([np.frombuffer(x, np.uint64) for x in s.field("elements").take(pa.array(i)).to_pylist()] for s, i in ((q, rows), (t, cols)))
+    q_size, t_size = np.array([len(x) for x in qs]), np.array([len(x) for x in ts])
+    # Common elements of all pairs at once: a product of the two incidence matrices.
+    values, at = np.unique(np.concatenate(qs + ts), return_inverse=True)
+    owner = np.repeat(np.arange(len(qs) + len(ts)), np.concatenate((q_size, t_size)))
+    has = np.zeros((len(qs) + len(ts), len(values)), np.float32)
+    has[owner, at] = 1
+    common = np.rint(has[: len(qs)] @ has[len(qs) :].T).astype(np.int64)
+    similar = due[np.ix_(rows, cols)] & (100 * common >= percent * (q_size[:, None] + t_size[None, :] - common))
+    i, j = np.nonzero(similar)
+    return qn[rows[i]], tn[cols[j]]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs.
 
@@ -243,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = nodes.select(F.col("node").alias("__rep"), F.col("n").alias("rep_n"))
     stars = members.where("node <> rep").groupBy("rep", "node").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n"))
     stars = stars.join(sizes, F.col("rep") == F.col("__rep")).where(100 * F.least("n", "rep_n") >= percent * F.greatest("n", "rep_n"))
-    stars = stage(stars.select(F.col("rep").alias("a"), F.col("node").alias("b"), "shared").distinct(), "minhash-stars")
+    stars = stage(stars.select(F.col("rep").alias("a"), F.col("node").alias("b"), "shared"), "minhash-stars")
 
     in_play = members.select("node").distinct()
     passing = _filter(in_play, FILTER_BITS)
