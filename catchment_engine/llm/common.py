@@ -39,12 +39,19 @@ def ascii_lower(data: bytes) -> bytes:
     return data.lower()
 
 
+#: Rows of whole texts in one Arrow batch.
+ARROW_ROWS = 2000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per context, so that
-    it needn't be installed there."""
+    it needn't be installed there, and bounds the rows that a worker gets at once."""
     import os
     import zipfile
 
+    if int(spark.conf.get(_ARROW_ROWS)) > ARROW_ROWS:
+        spark.conf.set(_ARROW_ROWS, str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_catchment_engine", False):
         return

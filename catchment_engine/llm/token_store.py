@@ -36,9 +36,9 @@ CHUNK_MIN, CHUNK_MEAN, CHUNK_MAX = 128, 1024, 8192
 #: Ids that the rolling hash sees.
 ROLL = 16
 #: Words that a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 #: Bytes of text encoded at once.
-GROUP = 3 << 20
+GROUP = 2 << 20
 #: Digests that a task remembers, so as to send each chunk once.
 SEEN = 200_000
 #: Children of a node in a shard's Merkle tree.
@@ -115,8 +115,8 @@ class _WordEncoder:
 
     Right for tokenizers that drop white space and never join what it parts. Most new
     words are letters that normalising and splitting leave alone but for their case; they
-    go straight to the library's model, the others through all of it. The memory is a dict
-    from hashes to numbers, and arrays of each number's ids.
+    go straight to the library's model, the others through all of it. The memory is an open
+    hash table from hashes to numbers, and arrays of each number's ids.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -142,9 +142,22 @@ class _WordEncoder:
         self.mark_at = np.cumsum(self.mark_n) - self.mark_n
 
     def forget(self) -> None:
-        self.number: dict[int, int] = {}
+        slots = 1 << (2 * CACHE_WORDS).bit_length()
+        self.keys, self.numbers, self.have = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), 0
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's number, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        out, due, slot = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), hashes & mask
+        while len(due):
+            key = self.keys[slot]
+            hit = key == hashes[due]
+            out[due[hit]] = self.numbers[slot[hit]]
+            more = ~hit & (key != 0)
+            due, slot = due[more], (slot[more] + np.uint64(1)) & mask
+        return out
 
     def pieces(self, words: bytes, n: int) -> tuple[np.ndarray, np.ndarray | None]:
         """Ids of n words of letters with spaces between, and how many each has (None if
@@ -206,8 +219,9 @@ class _WordEncoder:
         place[order] = np.cumsum(n[order]) - n[order]
         return made[ragged(place, n)], n
 
-    def remember(self, hashes: list[int], ids: np.ndarray, n: np.ndarray) -> None:
-        have, more = len(self.number), len(hashes)
+    def remember(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Gives different, unknown hashes the next numbers."""
+        have, more = self.have, len(hashes)
         while have + more > len(self.start):
             self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
         while self.used + len(ids) > len(self.pool):
@@ -215,24 +229,34 @@ class _WordEncoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.start[have : have + more] = self.used + np.cumsum(n) - n
         self.length[have : have + more] = n
-        self.used += len(ids)
-        self.number.update(zip(hashes, range(have, have + more), strict=True))
+        self.used, self.have = self.used + len(ids), have + more
+        mask = np.uint64(len(self.keys) - 1)
+        due, slot = np.arange(more), hashes & mask
+        while len(due):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[due[free]]  # of several for one slot one stays
+            own = self.keys[slot] == hashes[due]
+            self.numbers[slot[own]] = have + due[own]
+            due, slot = due[~own], (slot[~own] + np.uint64(1)) & mask
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; texts of a few megabytes at a time are a good measure."""
         data, begin, end, at = word_places(texts)
-        if len(self.number) > CACHE_WORDS:
+        hashes, first, inverse = np.unique(window_hash(prefix_hash(data), begin, end) | np.uint64(1), return_index=True, return_inverse=True)
+        if self.have + len(hashes) > CACHE_WORDS:
             self.forget()
-        hashes, first, inverse = np.unique(window_hash(prefix_hash(data), begin, end), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        numbers = np.array([-1 if x is None else x for x in map(self.number.get, keys)], np.int64)
+        if len(hashes) > CACHE_WORDS:  # one text of more words than are remembered
+            ids, n = self.learn(data, begin, end)
+            stops = np.concatenate(([0], np.cumsum(n)))[at]
+            return [ids[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+        numbers = self.find(hashes)
         new = np.flatnonzero(numbers < 0)
         if len(new):
             ids, n = self.learn(data, begin[first[new]], end[first[new]])
-            numbers[new] = len(self.number) + np.arange(len(new))
-            self.remember(hashes[new].tolist(), ids, n)
+            numbers[new] = self.have + np.arange(len(new))
+            self.remember(hashes[new], ids, n)
         word = numbers[inverse]
-        n = self.length[word]
+        n = self.length[word].astype(np.int64)
         ids = self.pool[ragged(self.start[word], n)]
         stops = np.concatenate(([0], np.cumsum(n)))[at]
         return [ids[i:j] for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
