@@ -91,9 +91,116 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.identify(docs, op.train(sample) if sample else None)
 
 
+#: Lower case for A-Z alone.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _near_duplicates_sql() -> str:
+    """All pairs that share a shingle, counted; then what can be reached over links."""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOWER}, {_WORD}) END AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+    FROM words, unnest(range(1, greatest(len(w), 2))) t(i) WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN ways e ON e.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)"""
+
+
+def _quality_sql() -> str:
+    """Exact quantiles stand for the sketches: at the tables' size these are exact too."""
+    from . import quality as q
+
+    ratios = list(q.RATIOS)
+    cuts = (q.OUTER, 0.5, 1 - q.OUTER)
+    inside, fences = [], []
+    for r, (high, low) in q.RATIOS.items():
+        lo, mid, hi = (f"max(CASE WHEN r_{r} = greatest(1, ceil({c!r}::DOUBLE * n_{r})) THEN {r} END)" for c in cuts)
+        fences.append(f"greatest({high!r}::DOUBLE, {mid} + {q.REACH!r}::DOUBLE * ({hi} - {mid})) AS {r}_high")
+        inside.append(f"coalesce({r} <= {r}_high, TRUE)")
+        if low is not None:
+            fences.append(f"least({low!r}::DOUBLE, {mid} + {q.REACH!r}::DOUBLE * ({lo} - {mid})) AS {r}_low")
+            inside.append(f"coalesce({r} >= {r}_low, TRUE)")
+    ranked = ", ".join(f"row_number() OVER (PARTITION BY g, lang, source ORDER BY {r} NULLS LAST) AS r_{r}, count({r}) OVER (PARTITION BY g, lang, source) AS n_{r}" for r in ratios)
+    names = ", ".join(f"{r}_high" for r in ratios) + ", " + ", ".join(f"{r}_low" for r, (_, low) in q.RATIOS.items() if low is not None)
+    return f"""
+WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS l FROM words),
+grams AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM words, unnest(range(1, len(w) - 6)) t(i) WHERE len(w) >= 8),
+twice AS (SELECT doc_id, g FROM grams GROUP BY 1, 2 HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams JOIN twice USING (doc_id, g), range(0, 8) t(k) GROUP BY 1),
+counted AS (
+  SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CASE WHEN contains(text, chr(10)) THEN len(l) ELSE 1 END AS n_lines
+  FROM words JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+feats AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN CAST(n_symbols AS DOUBLE) / word_chars END AS symbol_ratio,
+    CASE WHEN n_lines > 0 THEN CAST(n_dup_lines AS DOUBLE) / n_lines END AS dup_line_ratio,
+    CASE WHEN n_words > 0 THEN CAST(n_repeat_words AS DOUBLE) / n_words END AS repeat_ratio,
+    CASE WHEN n_words > 0 THEN CAST(word_chars AS DOUBLE) / n_words END AS mean_word FROM counted),
+rolled AS (
+  SELECT 0 AS g, lang, source, {", ".join(ratios)} FROM feats WHERE NOT base_failed
+  UNION ALL SELECT 1, lang, NULL, {", ".join(ratios)} FROM feats WHERE NOT base_failed
+  UNION ALL SELECT 2, NULL, NULL, {", ".join(ratios)} FROM feats WHERE NOT base_failed),
+ranks AS (SELECT *, {ranked} FROM rolled),
+fences AS (SELECT g, lang, source, count(*) AS n, {", ".join(fences)} FROM ranks GROUP BY 1, 2, 3),
+levels AS (
+  SELECT f.*, CASE WHEN o.n >= {q.LEAST_GROUP} THEN 0 WHEN l.n >= {q.LEAST_GROUP} THEN 1 ELSE 2 END AS "level"
+  FROM feats f LEFT JOIN fences o ON o.g = 0 AND o.lang IS NOT DISTINCT FROM f.lang AND o.source IS NOT DISTINCT FROM f.source
+  LEFT JOIN fences l ON l.g = 1 AND l.lang IS NOT DISTINCT FROM f.lang)
+SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(inside)} AS kept,
+  {", ".join(ratios)}, CAST("level" AS INTEGER) AS "level"
+FROM levels v LEFT JOIN (SELECT g, lang, source, {names} FROM fences) f
+  ON f.g = v."level" AND (v."level" = 2 OR f.lang IS NOT DISTINCT FROM v.lang) AND (v."level" > 0 OR f.source IS NOT DISTINCT FROM v.source)"""
+
+
+def _mixing_sql() -> str:
+    from . import mixing as m
+
+    return f"""
+WITH sized AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, {_WORD})) END AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+named AS (SELECT *, {list(m.WEIGHTS)}[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(m.WEIGHTS)} + 1 AS INT)] AS weight FROM per),
+sorted AS (
+  SELECT *, {m.PASSES} * source_size AS cap, {m.BUDGET}e0 * sum(source_size) OVER () AS total, row_number() OVER o AS k,
+    coalesce(sum({m.PASSES} * source_size) OVER (ORDER BY {m.PASSES}e0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY {m.PASSES}e0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM named WINDOW o AS (ORDER BY {m.PASSES}e0 * source_size / weight, source NULLS LAST)),
+levels AS (SELECT *, (total - capped) / rest AS lv FROM sorted),
+targets AS (
+  SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), weight * (SELECT arg_min(lv, k) FROM levels WHERE lv * weight <= cap)), CAST(cap AS DOUBLE)) AS target FROM levels),
+queued AS (
+  SELECT doc_id, s.source, size, source_size, target, md5('mix:' || doc_id) AS tag,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM sized s JOIN targets t ON t.source IS NOT DISTINCT FROM s.source),
+packets AS (
+  SELECT doc_id, q.source, tag, least({m.PACKET}, size - b.first) AS words,
+    (p * source_size + earlier + b.first + least({m.PACKET}, size - b.first)) / target AS finish
+  FROM queued q, range(0, {m.PASSES}) a(p), unnest(range(0, size, {m.PACKET})) b(first) WHERE size > 0),
+served AS (
+  SELECT *, coalesce(sum(words) OVER (ORDER BY finish, source, tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM packets WHERE finish < 2),
+cut AS (
+  SELECT doc_id, finish, greatest(0, least(words, floor({m.BUDGET}e0 * (SELECT sum(size) FROM sized)) - earlier)) AS sent FROM served),
+taken AS (SELECT doc_id, CAST(sum(sent) AS BIGINT) AS taken, min(finish) AS first_finish FROM cut WHERE sent > 0 GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_finish FROM queued LEFT JOIN taken USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express on whole tables. It can't express the
+    others: op1 (places of matches), op2 and op9 (tokenizers), op3 (a parser), op4
+    (proximity to a segment's rarest term), op7 (suffix sorting takes too long) and op10
+    (a trained network); tests hold these against brute force."""
+    return {"op5_minhash_dedup": _near_duplicates_sql(), "op6_quality_rules": _quality_sql(), "op8_mixing": _mixing_sql()}
