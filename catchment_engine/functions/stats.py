@@ -51,16 +51,25 @@ def _ratio(x: Column, p: tuple, q: tuple) -> Column:
     return (top + F.lit(p[-2])) / (bottom + F.lit(q[-1]))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def erfc(x: Column) -> Column:
-    """Complementary error function, to about 1e-15 relative, also in the tail."""
-    y = F.abs(_d(x))
+    """Complementary error function, to about 1e-15 relative, also in the tail; null for null."""
+    return _let(_d(x), _erfc)
+
+
+def _erfc(x: Column) -> Column:
+    y = F.abs(x)
     # For x the ratio runs over x * x; Horner's scheme as above, on a function of y.
     near = 1 - y * _ratio(y * y, _ERF_P, _ERF_Q)
     middle = F.exp(-y * y) * _ratio(y, _ERFC_P, _ERFC_Q)
     inverse = 1 / (y * y)
     far = F.exp(-y * y) / y * (F.lit(1 / math.sqrt(math.pi)) - inverse * _ratio(inverse, _TAIL_P, _TAIL_Q))
     upper = F.when(y <= 0.46875, near).when(y <= 4.0, middle).when(y < 27.0, far).otherwise(0.0)
-    return F.when(_d(x) >= 0, upper).otherwise(2 - upper)
+    return F.when(x >= 0, upper).when(x < 0, 2 - upper)
 
 
 def normal_cdf(z: Column) -> Column:
