@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Lengths in one block of the two-level suffix sum.
-BLOCK = 1024
+BLOCK = 64
 
 
 @lru_cache(maxsize=4)
@@ -56,9 +58,10 @@ def suffix_report(histogram: DataFrame) -> DataFrame:
     whose value L is; and the totals. An empty table gives no rows.
 
     Sums run in two levels, within blocks of BLOCK lengths and over the blocks,
-    so no task holds more than the block count or a block.
+    so no task holds more than the block count or a block. The histogram is written to
+    shared storage first, as both levels read it and texts are to be encoded once.
     """
-    h = histogram.select(
+    h = stage(histogram, "token-histogram").select(
         "n_tokens",
         "n_docs",
         (F.col("n_tokens") * F.col("n_docs")).alias("tokens"),
