@@ -27,7 +27,7 @@ SEGMENT_WORDS = 1 << 20
 #: Free positions between documents of a segment: no window crosses them.
 GAP = 64
 #: Characters of benchmark text that one pass over the index takes; more are searched in blocks.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 2 << 20
 
 
 class Tests:
