@@ -225,7 +225,7 @@ def _event_pairs(spark, sf_dir):
     per = star.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 250).alias("x"), F.count(F.lit(1)).alias("n"))
     a = per.select(F.col("event_type").alias("type_1"), F.col("x").alias("x1"), F.col("n").alias("n1"))
     b = per.select(F.col("event_type").alias("type_2"), F.col("x").alias("x2"), F.col("n").alias("n2"))
-    return a.join(F.broadcast(b), F.col("type_1") < F.col("type_2"))  # a handful of types
+    return a.join(b, F.col("type_1") < F.col("type_2"))
 
 
 @query
