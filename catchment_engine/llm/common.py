@@ -70,10 +70,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def sliced(batches, rows: int = 512):
-    """Batches in slices of some rows: what Python makes of a slice is gone before the next."""
+    """Batches in slices of some rows: what Python makes of a slice is gone before the next.
+    At the end, free memory goes back to the system, as the worker may be idle then."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        b = None
+    trim()
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 _own: dict[str, str] = {}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, sliced
 
 #: Words of a test window.
 WINDOW = 10
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None, id_
                 ["doc_ids", "n_words", "first", "terms", "counts", "postings"],
             )
 
-        for b in batches:
+        for b in sliced(batches):
             kind = b.column(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 words = alnum_words(text) if text else []

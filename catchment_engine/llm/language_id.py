@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Bytes of a window.
 LENGTH = 128
 #: Widths of the filters, filters of each, and dimensions of the embedding.
@@ -172,7 +174,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
-        for b in batches:
+        for b in sliced(batches):
             texts, letters = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()
             label, score = ["und"] * len(texts), [0.0] * len(texts)
             rows = [i for i, ok in enumerate(letters) if ok and net]

@@ -421,6 +421,7 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int) -> DataFrame
 
         unpack = zstandard.ZstdDecompressor().decompress
         head, held = None, []
+        _encoder.cache_clear()  # a worker that has encoded needs its words no more
 
         def finish():
             data = b"".join(held)
@@ -436,7 +437,7 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int) -> DataFrame
         for b in batches:
             types = types or [b.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             rows, size = [], 0
-            for r in b.to_pylist():
+            for r in (r for part in sliced([b]) for r in part.to_pylist()):
                 if r["seq"] == -1:
                     if head:
                         rows.append(finish())
