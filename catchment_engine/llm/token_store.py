@@ -434,10 +434,10 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
 
         types = None
-        for b in batches:
+        for b in sliced(batches):
             types = types or [b.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             rows, size = [], 0
-            for r in (r for part in sliced([b]) for r in part.to_pylist()):
+            for r in b.to_pylist():
                 if r["seq"] == -1:
                     if head:
                         rows.append(finish())
@@ -447,6 +447,8 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int) -> DataFrame
                             rows, size = [], 0
                     head, held = r, []
                 else:
+                    if r["data"] is None:
+                        raise ValueError(f"a chunk of document {head['doc_id']} is missing")
                     held.append(unpack(r["data"]))
             if rows:
                 yield batch(rows)
