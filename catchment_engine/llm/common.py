@@ -119,7 +119,15 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing will read again."""
+    for df in staged:
+        drop_path(df.sparkSession, df._staged_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, stage
+from .common import sliced, stage, unstage
 from .components import connected_components
 from .hashing import grouped, mix64, shingle_sets
 
@@ -206,7 +206,9 @@ def _residual(members: DataFrame, banded: DataFrame, sets: DataFrame, labels: Da
             a, z = (np.concatenate([f[i] for f in found]) for i in range(2))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], ["a", "b"])
 
-    return pairs.select("band", "q", "t").mapInArrow(run, "a long, b long").distinct()
+    found = stage(pairs.select("band", "q", "t").mapInArrow(run, "a long, b long").distinct(), "minhash-links")
+    unstage(of, left, details, full)
+    return found
 
 
 def _compare_blocks(band: int, q: pa.StructArray, t: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,20 +270,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Each node's likeliest partner first; the others only where that left a gap.
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = stage(_verify(best.select("a", "b"), sets, percent), "minhash-links")
-    labels = stage(connected_components(links), "minhash-labels")
+    first = stage(_verify(best.select("a", "b"), sets, percent), "minhash-links")
+    labels = stage(connected_components(first), "minhash-labels")
     done = stars.select("a", "b")
     open_pairs = _labelled(_labelled(done, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
     more = stage(_verify(open_pairs.join(best.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "minhash-links")
-    links = links.unionByName(more)
     if more.head(1):
-        labels = stage(connected_components(links), "minhash-labels")
+        labels = stage(connected_components(first.unionByName(more)), "minhash-labels")
 
     # Buckets whose nodes are in different components yet: their nodes outside the largest
     # component are a query set, compared with all the bucket's nodes in blocks.
-    last = stage(_residual(members, banded, sets, labels, percent), "minhash-links")
+    last = _residual(members, banded, sets, labels, percent)
     if last.head(1):
-        labels = stage(connected_components(links.unionByName(last)), "minhash-labels")
+        labels = stage(connected_components(first.unionByName(more).unionByName(last)), "minhash-labels")
+    unstage(banded, members, stars, sets, first, more, last)
 
     out = _labelled(sketch.select("doc_id", "n", "key").join(nodes.select("key", "node"), "key", "left"), labels, "node", "c")
     component = F.coalesce(F.when(F.col("c") < NO_ID, F.col("c")), F.col("doc_id"))

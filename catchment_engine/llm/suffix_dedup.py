@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stage
+from .common import sliced, stage, unstage
 from .hashing import mix64, prefix_hash, window_hash
 
 SIZE, GRAM = 400, 160
@@ -365,7 +365,9 @@ def repeated_runs(docs: DataFrame, profile: DataFrame, size: int = SIZE, hot: in
     loose = cut.where("data IS NULL").select("g", "h2", "t", "at", F.xxhash64("t", "at").alias("place"))
     again = loose.groupBy("g", "h2").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("g", "h2")
     apart = loose.join(again, ["g", "h2"]).select("t", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
-    return stage(sure.unionByName(found).unionByName(apart).distinct(), "repeats-runs")
+    runs = stage(sure.unionByName(found).unionByName(apart).distinct(), "repeats-runs")
+    unstage(by_content, shared, flagged, lives, cut)
+    return runs
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -380,9 +382,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     profile = stage(_profile(rows, size, gram), "repeats-profile")
     copies = profile.groupBy("t").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     runs = repeated_runs(rows, profile, size, hot)
-    runs = runs.join(copies, "t", "left_anti")  # a text with copies goes whole
-    runs = stage(runs.groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "repeats-by-text")
-    kept = stage(_keep(_texts(rows, runs.select("t")).join(runs, "t"), size), "repeats-kept")
+    own = runs.join(copies, "t", "left_anti")  # a text with copies goes whole
+    own = stage(own.groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "repeats-by-text")
+    kept = stage(_keep(_texts(rows, own.select("t")).join(own, "t"), size), "repeats-kept")
+    unstage(runs, own)
     out = profile.select("doc_id", "n", "t", "sha").join(kept, "t", "left").join(copies, "t", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= size)
     return out.select(
