@@ -146,11 +146,15 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
 
 
+#: Rows of keys that are broadcast at most, about 100 bytes each; more are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+
+
 def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of docs with no equal (null-safe) keys in gone, whose columns are renamed."""
+    """The rows of docs with no equal (null-safe) keys in gone, a staged table."""
     names = {k: f"__gone_{i}" for i, k in enumerate(keys)}
     other = gone.select(*[F.col(k).alias(v) for k, v in names.items()]).distinct()
     on = None
     for k, v in names.items():
         on = docs[k].eqNullSafe(other[v]) if on is None else on & docs[k].eqNullSafe(other[v])
-    return docs.join(other, on, "left_anti")
+    return docs.join(F.broadcast(other) if gone.count() <= BROADCAST_ROWS else other, on, "left_anti")

@@ -33,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
+def queue_tag(doc_id: Column, seed: str = "mix") -> Column:
+    """What a source's documents are shuffled by."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
     """(source, source_size, weight, target) from (source, size) rows.
 
@@ -88,8 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = stage(rows, "mix-sizes")
     per = targets(rows.select("source", "size"), budget=budget, passes=passes)
     per = stage(per, "mix-targets").select(F.col("source").alias("__source"), "source_size", "target")
-    tag = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = rows.withColumn("tag", tag).withColumn("block", F.substring("tag", 1, DIGITS))
+    rows = rows.withColumn("tag", queue_tag(F.col("doc_id"), seed)).withColumn("block", F.substring("tag", 1, DIGITS))
     queued = _running(rows, ["source"], "block", "size", ["tag", "doc_id", "size"])
     queued = queued.join(per, queued["source"].eqNullSafe(per["__source"])).drop("__source")
     queued = queued.withColumn("copy", F.row_number().over(Window.partitionBy("source", "block").orderBy("tag", "doc_id", "size")))

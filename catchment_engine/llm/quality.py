@@ -120,10 +120,9 @@ def fences(feats: DataFrame) -> DataFrame:
     )
 
 
-def judge(feats: DataFrame) -> DataFrame:
+def judge(feats: DataFrame, at: DataFrame) -> DataFrame:
     """feats with kept: false if base_failed or a ratio is beyond a fence of its group.
     A null ratio (no words) is beyond none. Null languages and sources are groups."""
-    at = stage(fences(feats), "quality-fences")
     at = at.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
     joined = feats.join(at, feats["lang"].eqNullSafe(at["__lang"]) & feats["source"].eqNullSafe(at["__source"]))
     inside = F.lit(True)
@@ -137,4 +136,19 @@ def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     features are written to shared storage, then small aggregates and a join."""
     keep = ["doc_id"] if keep is None else keep
     named = docs.withColumns({"lang": F.col(lang_col).cast("string"), "source": F.col(source_col).cast("string")})
-    return judge(stage(features(named, text_col, [*keep, "lang", "source"]), "quality-features"))
+    feats = stage(features(named, text_col, [*keep, "lang", "source"]), "quality-features")
+    return judge(feats, stage(fences(feats), "quality-fences"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of documents that are kept, with all their columns. Texts are read twice,
+    for the fences and for the verdicts, and never shuffled."""
+    named = docs.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
+    narrow = stage(features(named), "quality-features")
+    at = stage(fences(narrow), "quality-fences")
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    wide = features(named.select("text", "lang", "source", whole), keep=["__row", "lang", "source"])
+    # Not a plain filter: the planner would push that below the features and copy their
+    # expressions into it and into each other.
+    rows = judge(wide, at).select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
+    return rows.where("__row IS NOT NULL").select("__row.*")
