@@ -26,11 +26,7 @@ ORACLE_SQL = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fences of their language and source."""
     common.ship(spark)
-    keyed = docs.withColumn("__key", common.row_key("text", "lang", "source"))
-    judged = quality_op.assess(keyed, keep=["doc_id", "__key"])
-    # The rejected are few and small; the planner sees their size and broadcasts them or not.
-    gone = common.stage(judged.where("NOT kept").select("doc_id", "__key").distinct(), "pipeline-rejected")
-    return common.without(keyed, gone, ["doc_id", "__key"]).select(docs.columns)
+    return quality_op.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,14 +62,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the document's size, rounded. Repeated documents stand as repeated rows."""
     common.ship(spark)
     taken = mixing_op.mix(docs)
-    copies = taken.select("doc_id", "size", "source", F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0) + 0.5).cast("int").alias("copies"))
-    # Equal rows of the mix have equal shares up to one packet; take the largest for each.
-    copies = common.stage(copies.groupBy("doc_id", "size", "source").agg(F.max("copies").alias("copies")).where("copies > 0"), "pipeline-mix")
-    sized = docs.withColumn("__size", mixing_op.word_count(F.col("text")))
-    on = sized["doc_id"].eqNullSafe(copies["doc_id"]) & (sized["__size"] == copies["size"]) & sized["source"].eqNullSafe(copies["source"])
-    joined = sized.join(copies.select("doc_id", "size", "source", "copies"), on)
-    columns = [sized[c] for c in docs.columns]
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select(docs.columns)
+    copies = F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0) + 0.5)
+    # Queues are served in the order of their tags, so a source's copies end at a tag: the
+    # decisions are a row per source, and no text is shuffled.
+    tag = mixing_op.queue_tag(F.col("doc_id"))
+    last = lambda k: F.max(F.when(copies >= k, tag))
+    ends = common.stage(taken.groupBy("source").agg(last(1).alias("__once"), last(2).alias("__twice")), "pipeline-mix").withColumnRenamed("source", "__source")
+    joined = docs.join(ends, docs["source"].cast("string").eqNullSafe(ends["__source"]))
+    joined = joined.where(mixing_op.word_count(F.col("text")) > 0)
+    n = F.when(tag <= F.col("__twice"), 2).when(tag <= F.col("__once"), 1).otherwise(0)
+    return joined.withColumn("__copy", F.explode(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), n))).select(docs.columns)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
