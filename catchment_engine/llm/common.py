@@ -40,7 +40,7 @@ def ascii_lower(data: bytes) -> bytes:
 
 
 #: Rows of whole texts in one Arrow batch.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

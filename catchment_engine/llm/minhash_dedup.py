@@ -134,7 +134,7 @@ def _sets_of(docs: DataFrame, passing: np.ndarray, words: int) -> DataFrame:
             at = _positions(number, bits)
             wanted = (bitmap[at >> 6] >> (at & 63) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
             texts = b.column(1).filter(pa.array(wanted)).cast(pa.binary()).to_pylist()
-            for part in grouped(texts, 4 * GROUP):
+            for part in grouped(texts, GROUP):
                 keys, elements = [], []
                 for s in shingle_sets([t.lower() if t else None for t in part], words):
                     if len(s):

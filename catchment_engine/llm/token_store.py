@@ -36,9 +36,9 @@ CHUNK_MIN, CHUNK_MEAN, CHUNK_MAX = 128, 1024, 8192
 #: Ids that the rolling hash sees.
 ROLL = 16
 #: Words that a worker remembers.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 #: Bytes of text encoded at once.
-GROUP = 2 << 20
+GROUP = 1 << 20
 #: Digests that a task remembers, so as to send each chunk once.
 SEEN = 200_000
 #: Children of a node in a shard's Merkle tree.
