@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, stage, unstage
@@ -72,7 +72,9 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, key, bands) per document; bands only where a task first sees a set."""
+    """(doc_id, n, key, bands) per document, with the columns of docs after doc_id and text;
+    bands only where a task first sees a set."""
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -94,9 +96,9 @@ def _sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             at[where] = bands
             offsets = np.concatenate(([0], np.cumsum(at))).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), column], ["doc_id", "n", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), column, *b.columns[2:]], ["doc_id", "n", "key", "bands", *more])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, bands array<long>" + "".join(f", {c} long" for c in more))
 
 
 def _positions(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -247,12 +249,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     they are kept if that is null. Equality of sets is by 128-bit digests, of shingles by
     64-bit hashes.
     """
-    spark: SparkSession = docs.sparkSession
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = _components(rows_in, words, percent, bands, rows, by_id=True)
+    component = F.coalesce(F.when(F.col("c") < NO_ID, F.col("c")), F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def row_groups(docs: DataFrame, keys: list[str], id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, group, and keys, columns of whole numbers) per row of docs: rows
+    are linked as in near_duplicates, but by their texts alone, whatever their ids. The
+    numbers of groups have no meaning; rows without a set have none."""
+    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
+    out = _components(rows_in, words, percent, bands, rows, by_id=False)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("group"), *keys)
+
+
+def _components(rows_in: DataFrame, words: int, percent: int, bands: int, rows: int, by_id: bool) -> DataFrame:
+    """(doc_id, n, c, and the columns of rows_in after doc_id and text) per row, c the
+    component of its set. Sets are numbered by their smallest id, or, if not by_id, each
+    by a number of its own."""
+    carried = rows_in.columns[2:]
     sketch = stage(_sketch(rows_in, words, bands, rows), "minhash-sketch")
     no_id = F.lit(NO_ID) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))
     nodes = sketch.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    nodes = stage(nodes.select("key", F.coalesce("first", no_id).alias("node"), "n"), "minhash-nodes")
+    node = F.coalesce("first", no_id) if by_id else F.monotonically_increasing_id()
+    nodes = stage(nodes.select("key", node.alias("node"), "n", "first"), "minhash-nodes")
 
     banded = stage(sketch.where(F.size("bands") > 0).select("key", "bands").dropDuplicates(["key"]).join(nodes, "key").select("node", "n", "bands"), "minhash-bands")
     buckets = banded.select("node", "n", F.explode("bands").alias("band"))
@@ -264,6 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stage(stars.select(F.col("rep").alias("a"), F.col("node").alias("b"), "shared"), "minhash-stars")
 
     in_play = members.select("node").distinct()
+    if not by_id:  # documents are told by their ids; all without one pass
+        in_play = nodes.join(in_play, "node", "left_semi").where("first IS NOT NULL").select(F.col("first").alias("node"))
     passing = _filter(in_play, FILTER_BITS)
     sets = _sets_of(rows_in, passing, words).dropDuplicates(["key"]).join(nodes.select("key", "node"), "key").select("node", "elements")
     sets = stage(sets, "minhash-sets")
@@ -285,6 +308,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = stage(connected_components(first.unionByName(more).unionByName(last)), "minhash-labels")
     unstage(banded, members, stars, sets, first, more, last)
 
-    out = _labelled(sketch.select("doc_id", "n", "key").join(nodes.select("key", "node"), "key", "left"), labels, "node", "c")
-    component = F.coalesce(F.when(F.col("c") < NO_ID, F.col("c")), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return _labelled(sketch.select("doc_id", "n", "key", *carried).join(nodes.select("key", "node"), "key", "left"), labels, "node", "c")

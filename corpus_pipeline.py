@@ -30,20 +30,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id. Of
-    repeated rows of a doc_id one stays, by text and then the other columns."""
+    """One row of each group of near duplicates: that with the smallest doc_id, null last,
+    then by a hash of the text; of rows equal in both, by text and then the other columns.
+    Rows are decided one by one: an id that is null or repeated links nothing. Rows
+    without words are in no group and stay."""
     common.ship(spark)
-    found = common.stage(minhash_op.near_duplicates(docs), "pipeline-near")
-    gone = common.stage(found.where("NOT kept").select("doc_id").distinct(), "pipeline-copies")
-    out = common.without(docs, gone, ["doc_id"])
-    repeated = common.stage(found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    row = ["doc_id", "__h1", "__h2"]
+    keyed = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit("row"), "text")})
+    found = minhash_op.row_groups(keyed, row[1:]).where("n_shingles > 0")
+    found = common.stage(found.groupBy(*row).agg(F.first("group").alias("group"), F.count(F.lit(1)).alias("n")), "pipeline-near")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *row))
+    first = common.stage(found.groupBy("group").agg(least.alias("least")).select("least.*"), "pipeline-first")
+    gone = common.stage(common.without(found, first, row).select(row), "pipeline-copies")
+    out = common.without(keyed, gone, row)
+    repeated = common.stage(common.without(found.where("n > 1"), gone, row).select(row), "pipeline-repeated")
     if not repeated.head(1):
-        return out
-    # Of a repeated id, rows are compared whole; only such rows are shuffled.
-    some = out.join(repeated, "doc_id", "left_semi")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    one = some.groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
-    return common.without(out, repeated, ["doc_id"]).unionByName(one)
+        return out.select(docs.columns)
+    # Of a repeated row key, rows are compared whole; only such rows are shuffled.
+    other = repeated.select(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(row)])
+    same = [out[c].eqNullSafe(other[f"__of{i}"]) for i, c in enumerate(row)]
+    some = out.join(other, same[0] & same[1] & same[2], "left_semi")
+    one = some.groupBy(*row).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return common.without(out, repeated, row).select(docs.columns).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

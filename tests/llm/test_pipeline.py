@@ -75,3 +75,26 @@ def test_repeated_rows_lose_all_but_one(spark):
     twice = docs.unionByName(docs)
     out = corpus_pipeline.near_duplicates(spark, twice, SF).collect()
     assert len(out) == len({r["doc_id"] for r in out})
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def prose(seed, n=60):
+    return " ".join(f"w{(seed * 7919 + i * i * 31 + i * seed) % 9973}" for i in range(n))
+
+
+def test_near_duplicates_decides_each_row(spark):
+    """Null ids of different texts, a group that has no id, and one id with two texts."""
+    a, b, c, d, e, f = (prose(k) for k in range(1, 7))
+    near = c + " tail"
+    rows = [(None, a), (4, a), (None, b), (None, None), (None, c), (None, c), (None, near), (7, d), (7, e), (3, e + " end"), (9, f), (9, f), (None, None), (8, " ")]
+    docs = rows_of(spark, [(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)]).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    loose = [x for x in got if x in [(None, c), (None, near)]]
+    assert len(loose) == 1
+    want = [(4, a), (None, b), (None, None), (None, None), (7, d), (3, e + " end"), (9, f), (8, " "), *loose]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    again = corpus_pipeline.near_duplicates(spark, docs.repartition(5), SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in again), key=str) == sorted(got, key=str)
