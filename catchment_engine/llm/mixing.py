@@ -38,6 +38,11 @@ def queue_tag(doc_id: Column, seed: str = "mix") -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one id, or of none, apart in a queue."""
+    return F.xxhash64(text.cast("string"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
     """(source, source_size, weight, target) from (source, size) rows.
 
@@ -81,22 +86,22 @@ def _running(df: DataFrame, keys: list[str], block: str, value: str, order: list
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = BUDGET, passes: int = PASSES, packet: int = PACKET, seed: str = "mix") -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken, first_finish) per row of docs.
+    """(doc_id, size, source, source_size, target, taken, first_finish, text_hash) per row of docs.
 
     taken: words that the mix takes over all passes; first_finish: virtual time at
     which the document's first packet is sent. A null text has size 0 and takes 0;
     a null source is a source. The queue order is by md5 of seed and doc_id, then
-    size: rows equal in all of these are the same to the mix, and repeated rows
-    each are documents. An empty table gives no rows.
+    size and text_hash: rows equal in all of these are the same to the mix, and
+    repeated rows each are documents. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), text_hash(F.col(text_col)).alias("text_hash"))
     rows = stage(rows, "mix-sizes")
     per = targets(rows.select("source", "size"), budget=budget, passes=passes)
     per = stage(per, "mix-targets").select(F.col("source").alias("__source"), "source_size", "target")
     rows = rows.withColumn("tag", queue_tag(F.col("doc_id"), seed)).withColumn("block", F.substring("tag", 1, DIGITS))
-    queued = _running(rows, ["source"], "block", "size", ["tag", "doc_id", "size"])
+    queued = _running(rows, ["source"], "block", "size", ["tag", "doc_id", "size", "text_hash"])
     queued = queued.join(per, queued["source"].eqNullSafe(per["__source"])).drop("__source")
-    queued = queued.withColumn("copy", F.row_number().over(Window.partitionBy("source", "block").orderBy("tag", "doc_id", "size")))
+    queued = queued.withColumn("copy", F.row_number().over(Window.partitionBy("source", "block").orderBy("tag", "doc_id", "size", "text_hash")))
     queued = stage(queued, "mix-queue")
 
     one = queued.where("size > 0").withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(passes)])))
@@ -113,4 +118,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sent = sent.withColumn("sent", F.greatest(F.lit(0), F.least("words", total - F.col("before"))).cast("long")).where("sent > 0")
     taken = sent.groupBy(F.col("source").alias("__source"), F.col("queue").alias("__queue"), F.col("copy").alias("__copy")).agg(F.sum("sent").alias("taken"), F.min("finish").alias("first_finish"))
     on = queued["source"].eqNullSafe(taken["__source"]) & (queued["block"] == taken["__queue"]) & (queued["copy"] == taken["__copy"])
-    return queued.join(taken, on, "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_finish")
+    return queued.join(taken, on, "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_finish", "text_hash")

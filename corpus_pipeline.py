@@ -8,7 +8,7 @@ it again, so that a lost executor costs no more than the stage at work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catchment_engine.llm import common
@@ -66,20 +66,35 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, nought to two times: the words taken over
-    the document's size, rounded. Repeated documents stand as repeated rows."""
+    """Rows as often as the mix takes them, nought to two times: the words taken over
+    the row's size, rounded. Repeated documents stand as repeated rows."""
     common.ship(spark)
-    taken = mixing_op.mix(docs)
-    copies = F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0) + 0.5)
-    # Queues are served in the order of their tags, so a source's copies end at a tag: the
-    # decisions are a row per source, and no text is shuffled.
-    tag = mixing_op.queue_tag(F.col("doc_id"))
-    last = lambda k: F.max(F.when(copies >= k, tag))
-    ends = common.stage(taken.groupBy("source").agg(last(1).alias("__once"), last(2).alias("__twice")), "pipeline-mix").withColumnRenamed("source", "__source")
-    joined = docs.join(ends, docs["source"].cast("string").eqNullSafe(ends["__source"]))
-    joined = joined.where(mixing_op.word_count(F.col("text")) > 0)
-    n = F.when(tag <= F.col("__twice"), 2).when(tag <= F.col("__once"), 1).otherwise(0)
-    return joined.withColumn("__copy", F.explode(F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), n))).select(docs.columns)
+    taken = mixing_op.mix(docs).where("size > 0")
+    # Queues are served in the order of their tags, sizes and text hashes, so a source's copies
+    # end at a place: the decisions are a row per source, and no text is shuffled.
+    place = lambda size, text_hash: F.struct(mixing_op.queue_tag(F.col("doc_id")).alias("tag"), size.alias("size"), text_hash.alias("hash"))
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5)
+    at_least = [F.count_if(copies >= k).alias(f"n{k}") for k in (1, 2)]
+    places = taken.groupBy("source", place(F.col("size"), F.col("text_hash")).alias("place")).agg(F.count(F.lit(1)).alias("m"), *at_least)
+    places = common.stage(places, "pipeline-places").withColumnsRenamed({"source": "__source", "place": "__place"})
+    last = lambda k: F.max(F.when(F.col(f"n{k}") == F.col("m"), F.col("__place")))
+    ends = common.stage(places.groupBy("__source").agg(last(1).alias("__once"), last(2).alias("__twice")), "pipeline-mix")
+    placed = docs.withColumns({"__size": mixing_op.word_count(F.col("text")), "__hash": mixing_op.text_hash(F.col("text"))})
+    placed = placed.withColumn("__at", place(F.col("__size"), F.col("__hash"))).where("__size > 0")
+    same_source = docs["source"].cast("string").eqNullSafe(F.col("__source"))
+    n = F.when(F.col("__at") <= F.col("__twice"), 2).when(F.col("__at") <= F.col("__once"), 1).otherwise(0)
+    times = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long"))))
+    out = placed.join(ends, same_source).withColumn("__copy", times(n)).select(docs.columns)
+    # An end may fall among equal rows, which have one place: two places of a source at most.
+    cut = [F.when(F.col(f"n{k}") < F.col("m"), F.col(f"n{k}")).otherwise(0).alias(f"__n{k}") for k in (1, 2)]
+    split = common.stage(places.where("(0 < n1 AND n1 < m) OR (0 < n2 AND n2 < m)").select("__source", "__place", *cut), "pipeline-split")
+    if not split.head(1):
+        return out
+    equal = placed.join(split, same_source & (F.col("__at") == F.col("__place"))).groupBy("__source", "__place", "__n1", "__n2", *docs.columns).agg(F.count(F.lit(1)).alias("__m"))
+    over = Window.partitionBy("__source", "__place").orderBy(*docs.columns).rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("__before", F.coalesce(F.sum("__m").over(over), F.lit(0)))
+    n = sum(F.greatest(F.lit(0), F.least(F.col("__m"), F.col(f"__n{k}") - F.col("__before"))) for k in (1, 2))
+    return out.unionByName(equal.withColumn("__copy", times(n)).select(docs.columns))
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Each stage of the pipeline on its own input, against brute force where there is one."""
 
+from collections import Counter
+
 import brute
 import pytest
 
 import corpus_pipeline
-from catchment_engine.llm import queries
+from catchment_engine.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +100,20 @@ def test_near_duplicates_decides_each_row(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     again = corpus_pipeline.near_duplicates(spark, docs.repartition(5), SF).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in again), key=str) == sorted(got, key=str)
+
+
+def test_mixing_decides_each_row(spark):
+    """Many rows without an id, some of them equal: each stands as often as the mix takes it."""
+    rows = [(None, prose(k, 40 + k % 7), "en", "a", k) for k in range(60)]
+    rows += [(None, prose(99, 50), "en", "a", k % 2) for k in range(40)]
+    rows += [(k, prose(200 + k, 45), "en", s, k) for k in range(40) for s in ("b", None)]
+    rows += [(None, prose(300, 30), "de", "c", 1)] * 120
+    docs = rows_of(spark, rows).repartition(3)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["source"], r["doc_id"], r["text_hash"]] += int(r["taken"] / r["size"] + 0.5)
+    out = corpus_pipeline.mixing(spark, docs, SF)
+    got = Counter((r["source"], r["doc_id"], r["h"]) for r in out.select("source", "doc_id", mixing.text_hash(out["text"]).alias("h")).collect())
+    assert got == +want
+    # Both ends fall among rows without an id: of a among different rows, of c among equal ones.
+    assert {1, 2} <= {n for (s, _, _), n in got.items() if s == "a"} and 120 < sum(n for (s, _, _), n in got.items() if s == "c") < 240
