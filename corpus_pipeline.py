@@ -33,7 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates: that with the smallest doc_id, null last,
     then by a hash of the text; of rows equal in both, by text and then the other columns.
     Rows are decided one by one: an id that is null or repeated links nothing. Rows
-    without words are in no group and stay."""
+    without words are in no group and stay. Shingles have two words, at 80 percent:
+    the contract of op5_minhash_dedup is taken for the stage."""
     common.ship(spark)
     row = ["doc_id", "__h1", "__h2"]
     keyed = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit("row"), "text")})
