@@ -179,6 +179,19 @@ def clip_convex(subject: Column, window: Column) -> Column:
     return F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)
 
 
+def outside_share(inner: Column, outer: Column) -> Column:
+    """Share of a ring's area in its difference with a convex counter-clockwise ring; 0 for
+    an empty ring or one without area, 1 if the other is empty."""
+    whole = area(inner)
+    common = F.when(is_empty(outer), 0.0).otherwise(area(clip_convex(inner, outer)))
+    return F.when(is_empty(inner) | (whole == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - common / whole))
+
+
+def ring_contained(inner: Column, outer: Column, tolerance: float) -> Column:
+    """Whether the part of a ring outside a convex one is at most a share of its own area."""
+    return outside_share(inner, outer) <= tolerance
+
+
 def disc_contained(inner_radius: Column, outer_radius: Column, distance: Column, tolerance: float) -> Column:
     """Whether a disc's area outside another is at most a share of its own; an empty one is inside."""
     r, big, d = inner_radius, outer_radius, distance

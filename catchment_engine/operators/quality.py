@@ -107,3 +107,15 @@ def run_verdicts(results: DataFrame, planned: DataFrame) -> DataFrame:
     sums = results.groupBy("file").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("passed", "failed", "error", "skipped")])
     verdict = F.when(F.col("passed").isNull(), "NOT RUN").when(F.col("failed") + F.col("error") > 0, "FAIL").otherwise("PASS")
     return planned.select("file").distinct().join(sums, "file", "left").withColumn("verdict", verdict)
+
+
+def vocabulary_violations(df: DataFrame, column: str) -> DataFrame:
+    """(rule, value, n) of a vocabulary's flaws: blank or null entries, entries that occur
+    more than once (they would count double), and no entry at all."""
+    x = F.col(column).cast("string")
+    counted = df.groupBy(x.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    blank = F.coalesce(F.trim("value") == "", F.lit(True))
+    flawed = counted.withColumn("rules", F.array_compact(F.array(F.when(blank, F.lit("blank")), F.when(F.col("n") > 1, F.lit("repeated")))))
+    flawed = flawed.select(F.explode("rules").alias("rule"), "value", "n")
+    none = df.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("empty").alias("rule"), F.lit(None).cast("string").alias("value"), "n")
+    return flawed.unionByName(none)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .partitioning import placed
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n) of the keys that occur more than once."""
@@ -32,6 +34,12 @@ def shuffled(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
 
 
+def seeded_place(df: DataFrame, u: Column, key: str, out: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in the order of a seeded number, ties by a key that tells
+    rows apart. In two levels: no task has all rows."""
+    return placed(df, [u, F.col(key)], out=out)
+
+
 def scaled(df: DataFrame, column: str, factor: Column | float) -> DataFrame:
     """df with a column times a factor, widened first so that it can't overflow."""
     return df.withColumn(column, F.col(column).cast("double") * factor)

@@ -74,3 +74,51 @@ def align(curves: list[DataFrame], value: str, names: list[str]) -> DataFrame:
 def shift_hazard(df: DataFrame, years: int) -> DataFrame:
     """The hazard of a curve whose retirements come some years later: h at age - years."""
     return df.withColumn("age", F.col("age") + years)
+
+
+def survival_at(curve: DataFrame, ages: DataFrame, group: list[str] | None = None, survival: str = "survival") -> DataFrame:
+    """The rows of ages with the survival of their age and group, null where the curve has
+    none: the same values as the curve's, by a join."""
+    group = group or []
+    at = curve.select(*[F.col(c).alias(f"__{c}") for c in [*group, "age"]], F.col(survival).alias("__survival"))
+    on = F.col("age") == F.col("__age")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return ages.join(at, on, "left").withColumn(survival, F.col("__survival")).drop("__survival", "__age", *[f"__{g}" for g in group])
+
+
+#: Ages between which a career's weight peaks, and the share of its peak that the
+#: last years' mean stays below.
+PEAK_AGES, TAPER = (40, 60), 0.6
+
+
+def career_violations(df: DataFrame, weight: str, group: list[str] | None = None, k: int = 5) -> DataFrame:
+    """(group, rule, detail) of career arcs of weights by age that break a rule: a weight
+    outside (0, 1] (null too), a peak at either end or outside PEAK_AGES, no early ramp, or
+    a mean of the last k ages that isn't below TAPER of the peak."""
+    group = group or []
+    w = F.col(weight)
+    last = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("age").desc()))
+    ranked = df.withColumn("__last", last)
+    peak_age = F.max_by("age", F.struct(w, -F.col("age")))
+    arcs = ranked.groupBy(*group).agg(
+        F.count_if(w.isNull() | ~((w > 0) & (w <= 1))).alias("bad"),
+        F.min("age").alias("a"),
+        F.max("age").alias("z"),
+        peak_age.alias("peak"),
+        F.max(w).alias("top"),
+        F.min_by(w, "age").alias("first"),
+        F.avg(F.when(F.col("__last") <= k, w)).alias("tail"),
+    )
+    rule = lambda bad, name, detail: F.when(bad, F.struct(F.lit(name).alias("rule"), F.col(detail).cast("double").alias("detail")))
+    peak, top = F.col("peak"), F.col("top")
+    rules = F.array_compact(
+        F.array(
+            rule(F.col("bad") > 0, "not_a_share", "bad"),
+            rule((peak == F.col("a")) | (peak == F.col("z")), "peak_at_end", "peak"),
+            rule(~peak.between(*PEAK_AGES), "peak_age", "peak"),
+            rule(F.col("first") >= top, "no_ramp", "first"),
+            rule(F.col("tail") >= TAPER * top, "no_taper", "tail"),
+        )
+    )
+    return arcs.select(*group, F.explode(rules).alias("x")).select(*group, "x.rule", "x.detail")

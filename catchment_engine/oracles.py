@@ -14,8 +14,7 @@ _EDGES = """
 edges AS (
   SELECT l_suppkey AS provider_id, o_custkey AS tract_id,
          CAST(min(abs(datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)))) AS DOUBLE) AS minutes
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_suppkey % 10 <> 9 GROUP BY 1, 2)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 _WORLD = f"""{_EDGES},
 providers AS (SELECT s_suppkey AS provider_id, 1 + s_suppkey % 5 AS supply FROM supplier),
 tracts AS (SELECT c_custkey AS tract_id, CAST(floor(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END) AS BIGINT) AS population FROM customer),
@@ -216,6 +215,12 @@ def oracle_sql() -> dict[str, str]:
         "chunk_accounting": f"""WITH {_NUMBERED}, dealt AS (SELECT CAST({uneven} AS INTEGER) AS chunk FROM numbered)
             SELECT CAST(k AS INTEGER) AS chunk, count(dealt.chunk) AS n_items, CAST((k - 1) % 3 + 1 AS INTEGER) AS worker
             FROM range(1, 8) t(k) LEFT JOIN dealt ON dealt.chunk = k GROUP BY k""",
+        "worker_plan": f"""WITH {_NUMBERED}, dealt AS (SELECT tract_id, (idx - 1) % 7 + 1 AS c FROM numbered)
+            SELECT tract_id, CAST(c AS INTEGER) AS chunk, CAST((c - 1) % 3 + 1 AS INTEGER) AS worker, CAST((7 - c) // 3 + 1 AS INTEGER) AS turn FROM dealt""",
+        "chunk_invariance": f"""WITH {_SCORES} SELECT scheme, k AS n_chunks, count(*) AS n_tracts, round(sum(access), 9) AS access_sum, CAST(0 AS BIGINT) AS n_differ
+            FROM scores CROSS JOIN (VALUES ('even', 1), ('uneven', 2), ('interleaved', 7), ('even', 60)) v(scheme, k) WHERE band = 60 GROUP BY 1, 2""",
+        "allocation_weights": f"""WITH {_NATIONS}, s AS (SELECT n_nationkey, CAST(people AS DOUBLE) / sum(people) OVER () AS w FROM nations)
+            SELECT count(*) AS n_units, count(DISTINCT n_nationkey) AS n_keys, round(sum(w), 9) AS total, count(*) = 25 AND min(w) >= 0 AS complete, abs(sum(w) - 1) <= 1e-12 AS normalised FROM s""",
         "allocate_proportional": f"WITH {_NATIONS} SELECT n_nationkey, round(1306e0 * people / sum(people) OVER (), 9) AS allocated FROM nations",
         "allocate_largest_remainder": f"""WITH {_NATIONS},
             exact AS (SELECT n_nationkey, 1306e0 * CAST(people AS DOUBLE) / CAST(sum(people) OVER () AS DOUBLE) AS x FROM nations),
@@ -247,6 +252,15 @@ def oracle_sql() -> dict[str, str]:
         "survival_curve": f"WITH {_LIFE} SELECT age, round(h, 9) AS annual_hazard, round(s, 9) AS survival FROM curve",
         "hazard_from_survival": f"""WITH {_LIFE}, l AS (SELECT age, s, lag(s, 1, 1e0) OVER (ORDER BY age) AS b FROM curve)
             SELECT age, round(CASE WHEN b <> 0 THEN 1 - s / b END, 9) AS hazard FROM l""",
+        "survival_at_age": f"WITH {_LIFE} SELECT CAST(k AS INTEGER) AS age, round(s, 9) AS survival FROM range(0, 80, 10) t(k) LEFT JOIN curve ON age = k",
+        "career_violations": """WITH c AS (SELECT p_brand, p_size AS age, count(*) AS n FROM part GROUP BY 1, 2),
+            w AS (SELECT p_brand, age, CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY p_brand) * CASE WHEN p_brand LIKE '%5' THEN 1.5e0 ELSE 1e0 END AS w,
+              row_number() OVER (PARTITION BY p_brand ORDER BY age DESC) AS back, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, age) AS best FROM c),
+            a AS (SELECT p_brand, count(*) FILTER (WHERE NOT (w > 0 AND w <= 1)) AS bad, min(age) AS a, max(age) AS z, max(age) FILTER (WHERE best = 1) AS peak,
+              max(w) AS top, arg_min(w, age) AS f, avg(w) FILTER (WHERE back <= 5) AS tail FROM w GROUP BY 1)
+            SELECT p_brand, 'not_a_share' AS rule, CAST(bad AS DOUBLE) AS detail FROM a WHERE bad > 0
+            UNION ALL SELECT p_brand, 'peak_at_end', peak FROM a WHERE peak IN (a.a, z) UNION ALL SELECT p_brand, 'peak_age', peak FROM a WHERE peak < 40 OR peak > 60
+            UNION ALL SELECT p_brand, 'no_ramp', round(f, 9) FROM a WHERE f >= top UNION ALL SELECT p_brand, 'no_taper', round(tail, 9) FROM a WHERE tail >= 0.6e0 * top""",
         "survival_anchor_spread": f"""WITH {_LIFE}, r AS (SELECT 0.9e0 * s / s AS a FROM curve WHERE s <> 0)
             SELECT round(min(a), 9) AS anchor_min, round(max(a), 9) AS anchor_max, max(a) - min(a) < 1e-12 AS "constant" FROM r""",
         "survival_violations": f"""WITH {_LIFE}, b AS (SELECT age, CASE WHEN age % 5 = 0 THEN s + 1 ELSE s END AS s FROM curve WHERE age % 7 <> 0),
@@ -281,8 +295,8 @@ def oracle_sql() -> dict[str, str]:
         "band_discs": f"""SELECT s_suppkey AS provider_id, CAST(band AS INTEGER) AS band, 120 AS n_points,
             round(60 * power(band / 60.0 * 70e0 * 1000, 2) * sin({2 * math.pi / 120!r}) / 1e6, 4) AS km2
             FROM supplier CROSS JOIN (SELECT unnest([30, 60, 120, 180]) AS band)""",
-        "band_containment": """SELECT s_suppkey AS provider_id, CAST(a AS INTEGER) AS band, CAST(b AS INTEGER) AS outer_band, a <= b AS inside, 1 - power(a * 1e0 / b, 2) <= 1e-6 AS "reversed"
-            FROM supplier CROSS JOIN (VALUES (30, 60), (60, 120), (120, 180)) v(a, b)""",
+        "band_containment": """SELECT s_suppkey AS provider_id, CAST(a AS INTEGER) AS band, CAST(b AS INTEGER) AS outer_band, a <= b AS inside, 1 - power(a * 1e0 / b, 2) <= 1e-6 AS "reversed",
+              round(1 - power(a * 1e0 / b, 2), 9) AS outside FROM supplier CROSS JOIN (VALUES (30, 60), (60, 120), (120, 180)) v(a, b)""",
         "bbox": f"""WITH {_POINTS} SELECT round(min(lon) - 0.08e0, 9) AS xmin, round(min(lat) - 0.08e0, 9) AS ymin, round(max(lon) + 0.08e0, 9) AS xmax,
             round(max(lat) + 0.08e0, 9) AS ymax, NOT (max(lon) + 0.08e0 < 0 AND min(lat) - 0.08e0 > 0) AS swapped FROM points""",
         "point_in_polygon": "SELECT c_custkey AS tract_id, TRUE AS own, FALSE AS beside FROM customer",
@@ -311,8 +325,13 @@ def oracle_sql() -> dict[str, str]:
         "travel_matrix": f"""WITH {_STANDS}, grounds AS (SELECT n_nationkey AS tract_id, {_lon('n_nationkey')} AS lon, {_lat('n_nationkey')} AS lat FROM nation),
             d AS (SELECT provider_id, tract_id, {_km('s.lon', 's.lat', 'g.lon', 'g.lat')} AS km FROM stands s CROSS JOIN grounds g)
             SELECT provider_id, tract_id, round(km * (1e0 + (1.6e0 - 1e0) * ({_uniform(99, '(provider_id % 1000003)', '(tract_id % 1000003)')})) / 70e0 * 60, 6) AS minutes, round(km, 6) AS km FROM d""",
-        "prevalence_contract": """SELECT * FROM (VALUES ('any_PFD', 0.368e0, 0.497e0, TRUE), ('UI', 0.272e0, 0.382e0, TRUE), ('FI', 0.154e0, 0.210e0, TRUE), ('POP', 0.047e0, 0.040e0, TRUE))
-            v(condition, p_65_79, p_80plus, holds)""",
+        "vocabulary_violations": """WITH w AS (SELECT r_name AS w FROM region UNION ALL SELECT r_name FROM region JOIN nation ON r_regionkey = n_regionkey WHERE n_regionkey > 2 UNION ALL SELECT ' ' UNION ALL SELECT NULL),
+            c AS (SELECT w, count(*) AS n FROM w GROUP BY 1)
+            SELECT 'blank' AS rule, w AS value, n FROM c WHERE w IS NULL OR trim(w) = '' UNION ALL SELECT 'repeated', w, n FROM c WHERE n > 1""",
+        "prevalence_contract": """WITH v(condition, a, b) AS (VALUES ('any_PFD', 0.368e0, 0.497e0), ('UI', 0.272e0, 0.382e0), ('FI', 0.154e0, 0.210e0), ('POP', 0.047e0, 0.040e0)),
+            r AS (SELECT * FROM v UNION ALL SELECT condition || ' x 3', 3 * a, 3 * b FROM v)
+            SELECT condition, round(a, 9) AS p_65_79, round(b, 9) AS p_80plus, a BETWEEN 0 AND (SELECT a FROM v WHERE condition = 'any_PFD') AND b BETWEEN 0 AND (SELECT b FROM v WHERE condition = 'any_PFD') AS holds FROM r""",
         "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+        "shuffled_order": f"SELECT c_custkey, row_number() OVER (ORDER BY {_uniform(11, 'c_custkey')}, c_custkey) AS place FROM customer",
         "shuffled_rank": f"SELECT s_suppkey, round({_uniform(7, 's_suppkey')}, 9) AS u FROM supplier",
     }

@@ -156,6 +156,27 @@ def chunk_accounting(spark, sf_dir):
     return out.withColumn("worker", partitioning.workers_of(F.col("chunk"), 3).cast("int"))
 
 
+@query
+def worker_plan(spark, sf_dir):
+    """Seven chunks for three workers, the last chunks first."""
+    return partitioning.worker_plan(star.tracts(spark, sf_dir), 7, 3, "interleaved", "reverse")
+
+
+@query
+def chunk_invariance(spark, sf_dir):
+    """Access by 1, 2, 7 and 60 chunks: sums, and tracts that differ from the unchunked run."""
+    w = star.world(spark, sf_dir)
+    _, whole = catchment.two_step(w.edges, w.providers, w.tracts, [PRIMARY])
+    whole = whole.select("tract_id", F.col("access").alias("whole"))
+    out = None
+    for k, scheme in ((1, "even"), (2, "uneven"), (7, "interleaved"), (60, "even")):
+        part = partitioning.chunked_access(w.edges, w.providers, w.tracts, PRIMARY, k, scheme).join(whole, "tract_id", "full")
+        differs = F.count_if(~F.coalesce(F.abs(F.col("access") - F.col("whole")) < 1e-9, F.lit(False)))
+        part = part.agg(F.lit(scheme).alias("scheme"), F.lit(k).alias("n_chunks"), F.count(F.lit(1)).alias("n_tracts"), r9(F.sum("access")).alias("access_sum"), differs.alias("n_differ"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- shares -----------------------------------------------------------------------------
 
 TOTAL = 1306
@@ -190,6 +211,13 @@ def allocation_deviation(spark, sf_dir):
     return out.withColumn("max_abs_deviation", r9("max_abs_deviation"))
 
 
+@query
+def allocation_weights(spark, sf_dir):
+    """Nations' shares of all people as weights: complete and normalised."""
+    shares = allocate.allocate(_nations(spark, sf_dir), 1.0, "people", out="share")
+    return allocate.weights_check(shares, "n_nationkey", "share", 25).withColumn("total", r9("total"))
+
+
 # --- statistics -------------------------------------------------------------------------
 
 
@@ -295,6 +323,23 @@ def hazard_from_survival(spark, sf_dir):
     return survival.hazard_from_survival(_curve(spark, sf_dir)).select("age", r9("hazard").alias("hazard"))
 
 
+@query
+def survival_at_age(spark, sf_dir):
+    """The curve looked up at ages, some beyond it."""
+    ages = spark.range(0, 80, 10).select(F.col("id").cast("int").alias("age"))
+    return survival.survival_at(_curve(spark, sf_dir), ages).select("age", r9("survival").alias("survival"))
+
+
+@query
+def career_violations(spark, sf_dir):
+    """Brands' counts by size, over their most, as career arcs; those of some brands too large."""
+    by_brand = star.table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_size").alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    most = by_brand.groupBy("p_brand").agg(F.max("n").alias("top"))
+    factor = F.when(F.col("p_brand").endswith("5"), 1.5).otherwise(1.0)
+    arcs = by_brand.join(most, "p_brand").select("p_brand", "age", (F.col("n") / F.col("top") * factor).alias("weight"))
+    return survival.career_violations(arcs, "weight", ["p_brand"]).withColumn("detail", r9("detail"))
+
+
 @query
 def survival_anchor_spread(spark, sf_dir):
     curve = _curve(spark, sf_dir).withColumn("survival", 0.9 * F.col("survival"))
@@ -419,12 +464,13 @@ def band_discs(spark, sf_dir):
 
 @query
 def band_containment(spark, sf_dir):
-    """Each band's disc against the next larger one, and the other way round."""
-    d = _discs(spark, sf_dir).select("provider_id", "band", "radius")
-    after = F.lead(F.struct("band", "radius")).over(Window.partitionBy("provider_id").orderBy("band"))
+    """Each band's ring against the next larger one, and the other way round, by the area of
+    their differences; rings of 16 points."""
+    d = _discs(spark, sf_dir).select("provider_id", "band", geometry.disc(F.col("c.x"), F.col("c.y"), F.col("radius"), 16).alias("ring"))
+    after = F.lead(F.struct("band", "ring")).over(Window.partitionBy("provider_id").orderBy("band"))
     pairs = d.withColumn("next", after).where("next IS NOT NULL")
-    a, b, same, tolerance = F.col("radius"), F.col("next.radius"), F.lit(0.0), constants.TOL_GEOMETRY_FRACTION
-    return pairs.select("provider_id", "band", F.col("next.band").alias("outer_band"), geometry.disc_contained(a, b, same, tolerance).alias("inside"), geometry.disc_contained(b, a, same, tolerance).alias("reversed"))
+    a, b, tolerance = F.col("ring"), F.col("next.ring"), constants.TOL_GEOMETRY_FRACTION
+    return pairs.select("provider_id", "band", F.col("next.band").alias("outer_band"), geometry.ring_contained(a, b, tolerance).alias("inside"), geometry.ring_contained(b, a, tolerance).alias("reversed"), F.round(geometry.outside_share(b, a), 9).alias("outside"))
 
 
 @query
@@ -559,6 +605,15 @@ def world_contract_violations(spark, sf_dir):
     return quality.validate(star.World(providers, tracts, edges))
 
 
+@query
+def vocabulary_violations(spark, sf_dir):
+    """Region names, once for each nation of some regions, with a blank and a missing one."""
+    names = star.table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("word"))
+    twice = names.join(star.table(spark, sf_dir, "nation").where("n_regionkey > 2"), F.col("r_regionkey") == F.col("n_regionkey")).select("word")
+    flawed = spark.range(2).select(F.when(F.col("id") == 0, F.lit(" ")).alias("word"))
+    return quality.vocabulary_violations(names.select("word").unionByName(twice).unionByName(flawed), "word")
+
+
 @query
 def travel_matrix(spark, sf_dir):
     """Travel times of the first suppliers' and nations' grid: a full matrix of two small tables."""
@@ -571,12 +626,14 @@ def travel_matrix(spark, sf_dir):
 
 @query
 def prevalence_contract(spark, sf_dir):
-    """Conditions whose prevalence breaks a rule: outside 0..1, or above that of any."""
+    """Conditions and whether their prevalence keeps the rules: within 0..1, and not above that
+    of any. Each also three times as high, as a condition of its own. Reads no table."""
     rows = spark.createDataFrame(list(constants.WU2014_PFD_PREVALENCE), "condition string, p_65_79 double, p_80plus double")
+    rows = rows.unionByName(rows.select(F.concat("condition", F.lit(" x 3")).alias("condition"), *[(F.col(c) * 3).alias(c) for c in ("p_65_79", "p_80plus")]))
     whole = rows.where("condition = 'any_PFD'").select(F.col("p_65_79").alias("a"), F.col("p_80plus").alias("b"))
     joined = rows.crossJoin(F.broadcast(whole))
     good = F.col("p_65_79").between(0, 1) & F.col("p_80plus").between(0, 1) & (F.col("p_65_79") <= F.col("a")) & (F.col("p_80plus") <= F.col("b"))
-    return joined.select("condition", "p_65_79", "p_80plus", good.alias("holds"))
+    return joined.select("condition", r9("p_65_79").alias("p_65_79"), r9("p_80plus").alias("p_80plus"), good.alias("holds"))
 
 
 @query
@@ -598,4 +655,11 @@ def shuffled_rank(spark, sf_dir):
     return s.select("s_suppkey", F.round("u", 9).alias("u"))
 
 
+@query
+def shuffled_order(spark, sf_dir):
+    """Customers' places in a seeded order."""
+    c = star.table(spark, sf_dir, "customer").select("c_custkey")
+    return relational.seeded_place(c, worlds.uniform(11, F.col("c_custkey")), "c_custkey").select("c_custkey", F.col("place").cast("long").alias("place"))
+
+
 assert math.isclose(constants.MOE90_TO_CI95_FACTOR, 1.1915735, rel_tol=1e-7)
