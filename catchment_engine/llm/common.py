@@ -31,7 +31,12 @@ def alnum_words(data: bytes) -> list[bytes]:
     On UTF-8 bytes the class is digits, a-z and every byte from 0x80, so one
     table look-up and a split on ASCII white space do it.
     """
-    return data.translate(_ALNUM).split()
+    return alnum_bytes(data).split()
+
+
+def alnum_bytes(data: bytes) -> bytes:
+    """The same bytes, A-Z in lower case, with a space for each that is in no such word."""
+    return data.translate(_ALNUM)
 
 
 def ascii_lower(data: bytes) -> bytes:
@@ -98,9 +103,11 @@ _own: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset (local tests), a temporary one for each application."""
+    unset and all runs on one machine (tests), a temporary one for each application."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="catchment-shared-")
@@ -112,13 +119,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Writes a table to shared storage and reads it again: its lineage is cut,
     a lost executor loses nothing, and the planner knows its size (so that a
     broadcast is chosen only where the files are below the threshold)."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -136,6 +143,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def once(c: Column) -> Column:
+    """c, computed in the projection where it stands. The planner copies a column that is used
+    once into its user, which for a lambda's body means once for each element; it doesn't
+    copy what isn't deterministic, such as this condition, which always holds."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,7 +2,9 @@
 
 Regular expressions propose spans, checksums (Luhn, mod-97) confirm them and words
 nearby adjust their score. Expressions are possessive and anchored to run starts, so
-that long runs of letters or digits are read once and without recursion.
+that long runs of letters or digits are read once and without recursion. Places are
+running sums of pieces' lengths, each array computed once: a text costs time in
+proportion to its length and matches (and n log n to sort these).
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 #: Code points on either side of a span in which context words count.
 CONTEXT = 48
 #: What a context word adds to a score, and the score that kinds beyond the base need.
@@ -42,11 +46,11 @@ class Kind:
 
 #: The base kinds in their order, then those that the method adds.
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|contact|write to|schreib|correo", True, "@"),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"\b(?:e-?mail|mail|contact|write to|schreib|correo)", True, "@"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server", True, "."),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, "card|visa|credit|carte|karte|tarjeta", True, ""),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile|fax", True, "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.75, "iban|account|bank|konto|cuenta|compte", False, ""),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, r"card\b|\b(?:visa|credit|carte|tarjeta)|karte\b", True, ""),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"phone\b|\b(?:call|tel|mobile|fax)\b", True, "+"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.75, r"\b(?:iban|account|bank|konto|cuenta|compte)", False, ""),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"\bssn\b|social security", False, "-"),
 )
 
@@ -70,10 +74,10 @@ def _running(df: DataFrame, lengths: str, out: str) -> DataFrame:
     zero = F.lit(0)
     add = lambda acc, x: acc + x
     blocks = F.transform(F.sequence(zero, F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), zero, add))
-    df = df.withColumn(f"{out}_b", F.when(F.size(lengths) > 0, blocks))
-    df = df.withColumn(f"{out}_p", F.transform(f"{out}_b", lambda _, b: F.aggregate(F.slice(f"{out}_b", 1, b), zero, add)))
+    df = df.withColumn(f"{out}_b", once(F.when(F.size(lengths) > 0, blocks)))
+    df = df.withColumn(f"{out}_p", once(F.transform(f"{out}_b", lambda _, b: F.aggregate(F.slice(f"{out}_b", 1, b), zero, add))))
     at = lambda _, i: F.get(f"{out}_p", F.floor(i / BLOCK).cast("int")) + F.aggregate(F.slice(lengths, i - i % BLOCK + 1, i % BLOCK), zero, add)
-    return df.withColumn(out, F.transform(lengths, at)).drop(f"{out}_b", f"{out}_p")
+    return df.withColumn(out, once(F.transform(lengths, at))).drop(f"{out}_b", f"{out}_p")
 
 
 def _length_with(pieces: str):
@@ -94,9 +98,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
         maybe = F.contains("__t", F.lit(k.hint)) if k.hint else F.lit(True)
         if k.name != "email":
             maybe = maybe & F.col("__digit")
-        d = d.withColumn(m, F.when(maybe, F.regexp_extract_all("__t", F.lit(k.pattern), 0)))
-        d = d.withColumn(p, F.when(F.size(m) > 0, F.split("__t", k.pattern, -1)))
-        d = d.withColumn(n, F.when(F.col(p).isNotNull(), F.transform(m, _length_with(p))))
+        d = d.withColumn(m, once(F.when(maybe, F.regexp_extract_all("__t", F.lit(k.pattern), 0))))
+        d = d.withColumn(p, once(F.when(F.size(m) > 0, F.split("__t", k.pattern, -1))))
+        d = d.withColumn(n, once(F.when(F.col(p).isNotNull(), F.transform(m, _length_with(p)))))
         d = _running(d, n, s)
 
         def span(x: Column, j: Column) -> Column:
@@ -106,11 +110,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
             return F.struct(start.alias("start"), F.lit(i).alias("rank"), (start + F.length(x)).alias("end"), F.lit(k.name).alias("kind"), score.alias("score"), F.lit(k.base).alias("base"), k.valid(x).alias("ok"))
 
         found = F.filter(F.transform(m, span), lambda x: x["ok"] & (x["base"] | (x["score"] >= LEAST_SCORE)))
-        d = d.withColumn(m, F.when(F.col(p).isNotNull(), found)).drop(p, n, s)
+        d = d.withColumn(m, once(F.when(F.col(p).isNotNull(), found))).drop(p, n, s)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double,base:boolean,ok:boolean>>")
     every = F.concat(*[F.coalesce(F.col(f"__m{i}"), empty) for i in range(len(kinds))])
     spans = F.transform(F.array_sort(every), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"], x["score"], x["base"]))
-    return d.select("doc_id", spans.alias("spans"))
+    return d.select("doc_id", once(spans).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -131,14 +135,3 @@ def pii_report(found: DataFrame) -> DataFrame:
         F.array_max(F.transform("spans", lambda x: x["score"])).alias("top_score"),
     )
 
-
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with e-mail addresses and phone numbers replaced by their kind's
-    name in brackets; the others need validation and are left to find_pii's spans."""
-    text = F.col(text_col).cast("string")
-    for k in KINDS:
-        if k.name == "email":
-            text = F.regexp_replace(text, k.pattern, "[EMAIL]")
-        elif k.name == "phone":
-            text = F.regexp_replace(text, k.pattern, "[PHONE]")
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
