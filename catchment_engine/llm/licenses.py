@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, sliced
+from .common import alnum_bytes, sliced
 
 #: The contract's phrases and labels.
 BASE_PHRASES = {
@@ -47,7 +47,21 @@ TAG = "spdx license identifier"
 #: Identifiers (their stems too) that training on is allowed for by default.
 PERMISSIVE = frozenset({"mit", "apache", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "cc-by", "cc-by-4.0", "cc0-1.0", "unlicense", "zlib"})
 
-_TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
+#: Licence identifiers that a tag may name, beside the notices' and the permissive.
+OTHERS = frozenset(
+    """
+    0bsd afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later artistic-1.0 artistic-2.0 bsd-2-clause-patent bsd-4-clause
+    bsl-1.0 cc-by-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 ecl-2.0
+    epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0+ gpl-2.0-only gpl-2.0-or-later gpl-3.0+ gpl-3.0-only
+    gpl-3.0-or-later hpnd lgpl-2.0 lgpl-2.1 lgpl-2.1+ lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later
+    mit-0 mpl-1.1 mpl-2.0 ms-pl ms-rl ncsa ofl-1.1 openssl osl-3.0 php-3.01 postgresql python-2.0 ruby sspl-1.0 upl-1.0 vim
+    w3c wtfpl x11 zpl-2.1
+    """.split()
+)
+KNOWN = PERMISSIVE | OTHERS | {label for label, _ in NOTICES.values()} - {"proprietary"}
+
+_TAG = b"spdx-license-identifier"
+_TAG_VALUE = re.compile(rb"[ \t]*:[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+|\S")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -135,38 +149,45 @@ def _automaton():
 
 def scan_text(data: bytes, allowed: frozenset[str] = PERMISSIVE) -> tuple[int, list[dict], list[dict]]:
     """Words, notices and tags' expressions of one text as UTF-8."""
-    words = alnum_words(data)
+    flat = alnum_bytes(data)
+    words = flat.split()
     # Every word ends in one space, so neighbouring phrases can share it.
-    flat = b" " + b" ".join(words) + b" "
-    found = [(end - len(phrase) - 1, phrase) for end, phrase in _automaton().iter(flat.decode("latin-1"))] if words else []
+    joined = b" " + b" ".join(words) + b" "
+    found = [(end - len(phrase) - 1, phrase) for end, phrase in _automaton().iter(joined.decode("latin-1"))] if words else []
     if not found:
         return len(words), [], []
-    spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-    notices, tags = [], False
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    begins = None  # where words begin in the text
+    notices, expressions = [], []
     for at, phrase in found:
         first = int(np.searchsorted(spaces, at))
-        if phrase == TAG:
-            tags = True
+        if phrase != TAG:
+            label, weight = NOTICES[phrase]
+            notices.append({"label": label, "base_label": BASE_PHRASES.get(phrase), "first": first, "last": first + phrase.count(" "), "weight": weight})
             continue
-        label, weight = NOTICES[phrase]
-        notices.append({"label": label, "base_label": BASE_PHRASES.get(phrase), "first": first, "last": first + phrase.count(" "), "weight": weight})
-    expressions = []
-    if tags:
-        for m in _TAG_LINE.finditer(data.decode("utf-8", "replace")):
-            rpn = parse_expression(m[1])
+        if begins is None:
+            blank = np.frombuffer(flat, np.uint8) == 32
+            begins = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+        stop = int(begins[first]) + len(_TAG)
+        value = _TAG_VALUE.match(data, stop) if data[begins[first] : stop].lower() == _TAG else None
+        if value:
+            text = value[1].decode("utf-8", "replace")
+            rpn = parse_expression(text)
             met = evaluate(rpn, allowed) if rpn else None
-            expressions.append({"expression": m[1].strip(), "valid": met is not None, "permitted": met, "ids": identifiers(rpn) if met is not None else []})
+            ids = identifiers(rpn) if met is not None else []
+            expressions.append({"expression": text.strip(), "valid": met is not None, "permitted": met, "ids": [x for x in ids if x in KNOWN], "unknown": [x for x in ids if x not in KNOWN]})
     return len(words), notices, expressions
 
 
 _NOTICE = pa.struct([("label", pa.string()), ("base_label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("weight", pa.float64())])
-_EXPRESSION = pa.struct([("expression", pa.string()), ("valid", pa.bool_()), ("permitted", pa.bool_()), ("ids", pa.list_(pa.string()))])
-_OUT = "doc_id {id}, n_words long, notices array<struct<label:string,base_label:string,first:long,last:long,weight:double>>, expressions array<struct<expression:string,valid:boolean,permitted:boolean,ids:array<string>>>"
+_EXPRESSION = pa.struct([("expression", pa.string()), ("valid", pa.bool_()), ("permitted", pa.bool_()), ("ids", pa.list_(pa.string())), ("unknown", pa.list_(pa.string()))])
+_OUT = "doc_id {id}, n_words long, notices array<struct<label:string,base_label:string,first:long,last:long,weight:double>>, expressions array<struct<expression:string,valid:boolean,permitted:boolean,ids:array<string>,unknown:array<string>>>"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: frozenset[str] = PERMISSIVE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, notices (label, word places,
-    weight) in text order and the expressions of identifier tags.
+    weight) in text order and the expressions of identifier tags, whose identifiers are
+    in KNOWN (ids) or not (unknown).
 
     Null and empty texts have no words; repeated rows give repeated rows; other
     columns of docs are not read. One pass without a shuffle.
@@ -188,7 +209,8 @@ def license_report(scanned: DataFrame) -> DataFrame:
     """A row of labels and a score for each scanned document.
 
     score: 1 minus the product of (1 - weight) over the distinct labels; a valid
-    tag weighs 1. permitted: every expression can be met and every notice's label
+    tag of a known identifier weighs 1, an unknown one nothing: it is no label, and
+    unknown_ids reports it. permitted: every expression can be met and every notice's label
     is allowed; null without any.
     """
     base = F.filter("notices", lambda n: n["base_label"].isNotNull())
@@ -213,5 +235,6 @@ def license_report(scanned: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(F.concat(F.transform(base, lambda n: n["base_label"]), F.transform("notices", lambda n: n["label"]), tagged))), ",").alias("labels"),
         score.alias("score"),
         F.size("expressions").cast("long").alias("n_tags"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("expressions", lambda e: e["unknown"])))), ",").alias("unknown_ids"),
         F.when((F.size("notices") > 0) | (F.size("expressions") > 0), permitted).alias("permitted"),
     )
