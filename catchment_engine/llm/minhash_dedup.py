@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .common import sliced, stage, unstage
 from .components import connected_components
@@ -34,6 +35,8 @@ FILTER_BITS = 1 << 26
 GROUP = 1 << 20
 #: Set elements and nodes in a block, about.
 BLOCK_SHINGLES, BLOCK_NODES = 16_384, 128
+#: Blocks of either side that meet under one join key.
+TILE = 8
 #: Nodes without a document id are numbered from here.
 NO_ID = 1 << 62
 
@@ -185,7 +188,8 @@ def _labelled(df: DataFrame, labels: DataFrame | None, column: str, to: str) ->
 def _residual(members: DataFrame, banded: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of a bucket that its star hasn't compared.
 
-    A block holds about BLOCK_SHINGLES set elements, and rows are pairs of blocks, so that
+    A block holds about BLOCK_SHINGLES set elements; TILE blocks of either side make a tile,
+    and pairs of tiles are the join's keys, so that a hot bucket's work is dealt out and
     neither a bucket nor its pairs of nodes are gathered or written out. Nodes that share
     several buckets are compared in the one with the smallest key.
     """
@@ -199,8 +203,15 @@ def _residual(members: DataFrame, banded: DataFrame, sets: DataFrame, labels: Da
     details = stage(left.select("node").distinct().join(banded.select("node", "bands"), "node").join(sets, "node"), "minhash-details")
     full = stage(left.join(counts, "band").join(details, "node"), "minhash-compared")
     member = F.struct("node", "c", "rep", "elements", "bands")
-    side = lambda df, n, name: df.withColumn("block", F.pmod(F.xxhash64("node"), F.col(n))).groupBy("band", "block").agg(F.collect_list(member).alias(name)).drop("block")
-    pairs = side(full.where("query"), "q_blocks", "q").join(side(full, "t_blocks", "t"), "band")
+
+    def side(df: DataFrame, own: str, other: str, name: str, own_tile: str, other_tile: str) -> DataFrame:
+        """One row per block of this side and tile of the other."""
+        blocks_ = df.withColumn("block", F.pmod(F.xxhash64("node"), F.col(own))).groupBy("band", "block", other).agg(F.collect_list(member).alias(name))
+        tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(other) - 1) / TILE)))
+        return blocks_.select("band", F.floor(F.col("block") / TILE).alias(own_tile), tiles.alias(other_tile), name)
+
+    q_side = side(full.where("query"), "q_blocks", "t_blocks", "q", "q_tile", "t_tile")
+    pairs = q_side.join(side(full, "t_blocks", "q_blocks", "t", "t_tile", "q_tile"), ["band", "q_tile", "t_tile"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 8):
@@ -238,10 +249,19 @@ def _compare_blocks(band: int, q: pa.StructArray, t: pa.StructArray, percent: in
     return qn[rows[i]], tn[cols[j]]
 
 
+def _number(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long; other than whole numbers below NO_ID it fails."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{id_col} has to be a whole number, not {kind.simpleString()}")
+    x = F.col(id_col).cast("long")
+    return F.when(x >= NO_ID, F.raise_error(F.lit(f"{id_col} is beyond 2 ** 62")).cast("long")).otherwise(x)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs.
 
-    ids are whole numbers from 0. Texts are lower-cased in A-Z; a set holds the distinct
+    ids are whole numbers below 2 ** 62; others fail. Texts are lower-cased in A-Z; a set holds the distinct
     shingles of words, of a shorter text its words as one; null texts and those without
     words have no set, are linked with nothing and kept. Repeated rows are copies; rows of
     one id with several texts are one document that has the links of each. Rows without
@@ -249,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     they are kept if that is null. Equality of sets is by 128-bit digests, of shingles by
     64-bit hashes.
     """
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows_in = docs.select(_number(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = _components(rows_in, words, percent, bands, rows, by_id=True)
     component = F.coalesce(F.when(F.col("c") < NO_ID, F.col("c")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
@@ -259,7 +279,7 @@ def row_groups(docs: DataFrame, keys: list[str], id_col: str = "doc_id", text_co
     """(doc_id, n_shingles, group, and keys, columns of whole numbers) per row of docs: rows
     are linked as in near_duplicates, but by their texts alone, whatever their ids. The
     numbers of groups have no meaning; rows without a set have none."""
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
+    rows_in = docs.select(_number(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
     out = _components(rows_in, words, percent, bands, rows, by_id=False)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("group"), *keys)
 
