@@ -24,8 +24,9 @@ from .common import sliced
 LENGTH = 128
 #: Widths of the filters, filters of each, and dimensions of the embedding.
 WIDTHS, FILTERS, DIMENSIONS = (2, 3, 4), 8, 8
-#: Bounds of the training sample: documents of a language, bytes of each, languages.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LANGUAGES = 600, 1024, 512
+#: Bounds of the training sample: documents of a language and of all, but one of each language
+#: at least; characters of each.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_BYTES = 600, 100_000, 1024
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Windows in one forward pass.
 FORWARD = 512
@@ -67,7 +68,8 @@ def windows(data: bytes, length: int = LENGTH) -> np.ndarray:
 def features(net: Network, x: np.ndarray, tables=None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Max-pooled activations (n, W * F) and the places of the maxima."""
     pooled, places = [], []
-    for k, table in zip(WIDTHS, tables or net.tables(), strict=True):
+    for table in tables or net.tables():
+        k = len(table)
         n = x.shape[1] - k + 1
         act = table[0][x[:, :n]]
         for j in range(1, k):
@@ -100,30 +102,40 @@ def train(samples: list[tuple[bytes, str]], seed: int = 7) -> Network:
         mixed = order.permutation(len(x))
         for b in range(0, len(x), BATCH):
             rows = mixed[b : b + BATCH]
-            xb, h_w = x[rows], weight[rows]
-            h, places = features(net, xb)
-            p = softmax(h @ net.out + net.out_bias)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p *= h_w[:, None] / len(rows)
-            dh = (p @ net.out.T) * (h > 0)
-            d_embedding, d_filters = np.zeros_like(net.embedding), []
-            for i, (k, at) in enumerate(zip(WIDTHS, places, strict=True)):
-                g = dh[:, i * FILTERS : (i + 1) * FILTERS]
-                dw = np.zeros_like(net.filters[i])
-                for j in range(k):
-                    byte = np.take_along_axis(xb, at + j, 1)  # (n, F)
-                    e = net.embedding[byte]  # (n, F, D)
-                    dw[j] = np.einsum("nf,nfd->df", g, e)
-                    np.add.at(d_embedding, byte.ravel(), (g[:, :, None] * net.filters[i][j].T[None]).reshape(-1, DIMENSIONS))
-                d_filters.append(dw)
             step += 1
-            for q, grad in enumerate([d_embedding, *d_filters, dh.sum(0), h.T @ p, p.sum(0)]):
+            for q, grad in enumerate(gradients(net, x[rows], y[rows], weight[rows])):
                 m[q] += 0.1 * (grad - m[q])
                 v[q] += 0.001 * (grad * grad - v[q])
                 params[q] -= RATE * (m[q] / (1 - 0.9**step)) / (np.sqrt(v[q] / (1 - 0.999**step)) + 1e-8)
     return net
 
 
+def loss(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted mean cross-entropy of windows."""
+    p = softmax(features(net, x)[0] @ net.out + net.out_bias)
+    return float(-(weight * np.log(p[np.arange(len(x)), y])).sum() / len(x))
+
+
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """The loss's derivatives by embedding, filters, bias, out and out_bias."""
+    h, places = features(net, x)
+    p = softmax(h @ net.out + net.out_bias)
+    p[np.arange(len(x)), y] -= 1
+    p *= weight[:, None] / len(x)
+    dh = (p @ net.out.T) * (h > 0)
+    d_embedding, d_filters, done = np.zeros_like(net.embedding), [], 0
+    for w, at in zip(net.filters, places, strict=True):
+        g = dh[:, done : done + w.shape[2]]
+        done += w.shape[2]
+        dw = np.zeros_like(w)
+        for j in range(len(w)):
+            byte = np.take_along_axis(x, at + j, 1)  # (n, F)
+            dw[j] = np.einsum("nf,nfd->df", g, net.embedding[byte])
+            np.add.at(d_embedding, byte.ravel(), (g[:, :, None] * w[j].T[None]).reshape(-1, w.shape[1]))
+        d_filters.append(dw)
+    return [d_embedding, *d_filters, dh.sum(0), h.T @ p, p.sum(0)]
+
+
 def predict(net: Network, texts: list[bytes], tables=None) -> tuple[list[int], list[float]]:
     """Label and score of each text: log-probabilities are summed over all its windows,
     each by its share of bytes, and the mean's softmax is the score."""
@@ -146,20 +158,24 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
-    """At most about SAMPLE_DOCS labelled documents of each language that aren't held
-    out, chosen by a hash of their ids, each with SAMPLE_BYTES characters at a hashed place."""
+def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS, most: int = SAMPLE_ALL) -> list[tuple[bytes, str]]:
+    """About per_language documents of each language, fewer each if there are more than
+    most / per_language languages, but one at least: of those with a label and a letter that
+    aren't held out, by a hash of id and text (equal rows count once), each with SAMPLE_BYTES
+    characters at a hashed place. Every label that such a document has is learned."""
     text = F.col(text_col).cast("string")
-    known = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang")).where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.col("count").desc(), "lang").limit(SAMPLE_LANGUAGES).collect()
+    h = F.xxhash64(F.col(id_col).cast("string"), text, F.lit("sample"))
+    known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h"))
+    place = F.pmod("h", F.lit(1 << 20))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(place, "h")).alias("least")).collect()  # a row per language
     if not counts:
         return []
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["count"])))])
-    h = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
-    chosen = known.where(F.pmod(h, F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
-    at = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES)) + 1
-    rows = chosen.select("lang", h.alias("h"), F.substring("text", at.cast("int"), F.lit(SAMPLE_BYTES)).alias("text")).limit(2 * SAMPLE_DOCS * len(counts)).collect()
-    rows.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
+    share = min(per_language, most / len(counts))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], share / r["n"] * (1 << 20), r["least"]["h"]) for r in counts], "l string, rate double, least long")
+    chosen = known.join(F.broadcast(rates), F.col("lang") == F.col("l")).where((place < F.col("rate")) | (F.col("h") == F.col("least")))
+    at = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES)) + 1
+    cut = chosen.select("lang", "h", F.substring("text", at.cast("int"), F.lit(SAMPLE_BYTES)).alias("text")).distinct()
+    rows = cut.orderBy("h", "lang", "text").limit(2 * most + len(counts)).collect()  # twice what is due: never met
     return [(r["text"].encode(), r["lang"]) for r in rows]
 
 
