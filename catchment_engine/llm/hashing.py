@@ -38,9 +38,11 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums from which window_hash has the hash of any piece of data."""
+    """Sums from which window_hash has the hash of any piece of data: bytes, or 64-bit
+    integers that are hashes themselves."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * _power(_ODD, len(data)), out=out[1:])
+    values = data if data.dtype == np.uint64 else _byte_values()[data]
+    np.cumsum(values * _power(_ODD, len(data)), out=out[1:])
     return out
 
 

@@ -6,13 +6,17 @@
 2. Contexts are reduced, without loss, by counts over all documents: contexts of equal
    bytes are one (their windows are repeated at once), and a gram with one distinct
    context has nothing to be compared with.
-3. The remaining contexts meet by gram. Windows whose hash is unique there are set aside,
-   and the others' suffixes are sorted by the difference-cover algorithm modulo 3: sorted
-   triples at two thirds of the places give names, recursion on the names their order,
-   and the remaining third is merged in. Neighbouring prefixes of SIZE bytes are compared
-   byte by byte.
-4. A gram with more than HOT distinct contexts isn't gathered: its windows are grouped by
-   128-bit hashes, one row per window.
+3. The remaining contexts meet by gram, in groups of about GROUP contexts. Windows whose
+   hash is unique in a group are set aside, and the others' suffixes are sorted by the
+   difference-cover algorithm modulo 3: sorted triples at two thirds of the places give
+   names, recursion on the names their order, and the remaining third is merged in.
+   Neighbouring prefixes of SIZE bytes are compared byte by byte.
+4. Groups of one gram are merged by the 128-bit hashes of their distinct windows: one row
+   for a window that is repeated within its group, one for each that isn't. A gram in one
+   group has nothing to merge.
+
+The same is done for passages, strings of PASSAGE words of one text that also stand in
+another: letters are then the words' 64-bit hashes. A gram's lowest bit tells the kind.
 """
 
 from __future__ import annotations
@@ -22,15 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sliced, stage, unstage
-from .hashing import mix64, prefix_hash, window_hash
+from .hashing import grouped, mix64, prefix_hash, window_hash, word_hashes
 
 SIZE, GRAM = 400, 160
-#: Distinct contexts of a gram that one task takes; bytes of contexts sorted at once.
-HOT, BLOCK = 20_000, 1 << 19
+#: Words of a passage, and of the grams that anchor it.
+PASSAGE, PASSAGE_GRAM = 51, 12
+#: Distinct contexts of a gram in a group, about 4 MB of them; bytes of whole groups sorted at once.
+GROUP, BLOCK = 8000, 1 << 19
+BYTES, WORDS = 0, 1
 #: Bits of the filters that tell which texts are needed: of fixed size, 8 MB.
 FILTER_BITS = 1 << 26
 
@@ -82,17 +89,26 @@ def suffix_ranks(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which starts have a window data[start:start + size] that another of them has too.
+def repeated_starts(data: np.ndarray, starts: np.ndarray, size: int, owner: np.ndarray | None = None) -> np.ndarray:
+    """Which starts have a window data[start:start + size] that another of them has too, of
+    another owner if these are given.
 
     data: letters from 1, pieces apart by 0. Only starts are compared with each other."""
-    order = starts[np.argsort(suffix_ranks(data)[starts])]
+    rank = np.argsort(suffix_ranks(data)[starts])
+    order = starts[rank]
     windows = np.lib.stride_tricks.sliding_window_view(data, size)
     same = np.zeros(len(order) + 1, bool)
     for i in range(0, len(order) - 1, 8192):
         p = order[i : i + 8193]
         same[i + 1 : i + len(p)] = (windows[p[1:]] == windows[p[:-1]]).all(1)
-    return np.isin(starts, order[same[:-1] | same[1:]])
+    out = np.zeros(len(starts), bool)
+    if owner is None:
+        out[rank] = same[:-1] | same[1:]
+    elif len(order):
+        first = np.flatnonzero(~same[:-1])
+        mixed = np.minimum.reduceat(owner[rank], first) != np.maximum.reduceat(owner[rank], first)
+        out[rank] = mixed[np.cumsum(~same[:-1]) - 1]
+    return out
 
 
 # --- contexts -----------------------------------------------------------------------
@@ -135,49 +151,65 @@ def text_key(data: bytes) -> bytes:
 
 
 def _second(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Another hash of the same windows, from the sums of scattered pairs of bytes."""
-    pairs = data[:-1].astype(np.uint64) << np.uint64(8) | data[1:]
-    sums = np.zeros(len(data), np.uint64)
-    np.cumsum(mix64(pairs + np.uint64(1)) * (np.arange(len(pairs), dtype=np.uint64) + np.uint64(1)), out=sums[1:])
-    plain = np.zeros(len(data), np.uint64)
-    np.cumsum(mix64(pairs + np.uint64(1)), out=plain[1:])
+    """Another hash of the same windows, from the sums of scattered pairs of letters."""
+    wide = data.dtype == np.uint64
+    pairs = mix64(data[:-1] * np.uint64(3)) ^ data[1:] if wide else data[:-1].astype(np.uint64) << np.uint64(8) | data[1:]
+    scattered = mix64(pairs + np.uint64(1))
+    sums, plain = np.zeros(len(data), np.uint64), np.zeros(len(data), np.uint64)
+    np.cumsum(scattered * (np.arange(len(pairs), dtype=np.uint64) + np.uint64(1)), out=sums[1:])
+    np.cumsum(scattered, out=plain[1:])
     # Weights count from the window's begin.
     return mix64((sums[end - 1] - sums[begin]) - begin.astype(np.uint64) * (plain[end - 1] - plain[begin]))
 
 
-def _profile(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """Per document: its size, the key and digest of its text; and, where a task first sees
-    a text, its contexts."""
+def _contexts_of(letters: np.ndarray, size: int, gram: int, kind: int) -> list[np.ndarray]:
+    """first, last, g, c1, c2 of the contexts of a text's letters; none if it is too short."""
+    if len(letters) < size:
+        return [np.zeros(0, np.int64)] * 5
+    prefix = prefix_hash(letters)
+    first, last, g = contexts(letters, prefix, size, gram)
+    ends = last + size
+    g = g & ~np.uint64(1) | np.uint64(kind)
+    return [first.astype(np.int64), last.astype(np.int64), *(x.view(np.int64) for x in (g, window_hash(prefix, first, ends), _second(prefix, first, ends, letters)))]
+
+
+#: Bytes of texts whose words are hashed at once.
+_TEXTS = 1 << 20
+
+
+def _profile(docs: DataFrame, shape: tuple[int, int, int, int]) -> DataFrame:
+    """Per document: its bytes and words, the key and digest of its text; and, where a task
+    first sees a text, its contexts of both kinds. shape: size and gram of either kind."""
+    size, gram, passage, passage_gram = shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in sliced(batches):
-            n, keys, digests, sizes = [], [], [], []
+            n, n_words, keys, digests, sizes = [], [], [], [], []
             columns: list[list] = [[], [], [], [], []]
-            for text in b.column(1).cast(pa.binary()).to_pylist():
-                text = text or b""
-                n.append(len(text))
-                keys.append(text_key(text))
-                digests.append(hashlib.sha256(text).digest())
-                sizes.append(0)
-                if len(text) < size or keys[-1] in seen:
-                    continue
-                seen.add(keys[-1])
-                data = np.frombuffer(text, np.uint8)
-                prefix = prefix_hash(data)
-                first, last, g = contexts(data, prefix, size, gram)
-                sizes[-1] = len(first)
-                ends = last + size
-                for column, x in zip(columns, (first.astype(np.int64), last.astype(np.int64), g.view(np.int64), window_hash(prefix, first, ends).view(np.int64), _second(prefix, first, ends, data).view(np.int64)), strict=True):
-                    column.append(x)
+            for texts in grouped([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()], _TEXTS):
+                hashes, at = word_hashes(texts)
+                for k, text in enumerate(texts):
+                    n.append(len(text))
+                    n_words.append(int(at[k + 1] - at[k]))
+                    keys.append(text_key(text))
+                    digests.append(hashlib.sha256(text).digest())
+                    sizes.append(0)
+                    if keys[-1] in seen:
+                        continue
+                    seen.add(keys[-1])
+                    for found in (_contexts_of(np.frombuffer(text, np.uint8), size, gram, BYTES), _contexts_of(hashes[at[k] : at[k + 1]], passage, passage_gram, WORDS)):
+                        sizes[-1] += len(found[0])
+                        for column, x in zip(columns, found, strict=True):
+                            column.append(x)
             if len(seen) > 500_000:
                 seen.clear()
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))) for c in columns]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "t", "sha", "first", "last", "g", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(n_words, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "n_words", "t", "sha", "first", "last", "g", "c1", "c2"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {id_type}, n long, t binary, sha binary, first array<long>, last array<long>, g array<long>, c1 array<long>, c2 array<long>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, n long, n_words long, t binary, sha binary, first array<long>, last array<long>, g array<long>, c1 array<long>, c2 array<long>")
 
 
 def _place(keys: list[bytes], bits: int) -> np.ndarray:
@@ -224,100 +256,127 @@ def _texts(docs: DataFrame, keys: DataFrame, bits: int = FILTER_BITS) -> DataFra
     return docs.mapInArrow(keep, "t binary, text binary").join(keys, "t").dropDuplicates(["t"])
 
 
-def _cut(texts: DataFrame, size: int) -> DataFrame:
-    """Rows of the contexts to compare: (g, h2, t, at, n, data); of hot grams one row per
-    window without data, g and h2 the window's hashes."""
+def _cut(texts: DataFrame, size: int, passage: int) -> DataFrame:
+    """Rows of the contexts to compare: (kind, g, part, parts, t, at, n, data), data the
+    context's letters as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, held = [], 0
             for t, text, lives in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                prefix = None
+                hashes = None
                 for x in lives:
-                    first, last = x["first"], x["last"]
-                    if not x["hot"]:
-                        rows.append((x["g"], 0, t, first, last - first + 1, text[first : last + size]))
-                        held += last - first + size
-                        continue
-                    prefix = prefix_hash(data) if prefix is None else prefix
-                    begin = np.arange(first, last + 1)
-                    for h, h2, s in zip(window_hash(prefix, begin, begin + size).view(np.int64).tolist(), _second(prefix, begin, begin + size, data).view(np.int64).tolist(), begin.tolist(), strict=True):
-                        rows.append((h, h2, t, s, 1, None))
-                    held += 48 * len(begin)
+                    first, last, kind = x["first"], x["last"], x["g"] & 1
+                    if kind == BYTES:
+                        data = text[first : last + size]
+                    else:
+                        hashes = word_hashes([text])[0] if hashes is None else hashes
+                        data = hashes[first : last + passage].tobytes()
+                    rows.append((kind, x["g"], x["part"], x["parts"], t, first, last - first + 1, data))
+                    held += len(data)
                 if held > 8 << 20:
                     yield batch(rows)
                     rows, held = [], 0
             if rows:
                 yield batch(rows)
 
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["kind", "g", "part", "parts", "t", "at", "n", "data"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
     def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(6)], ["g", "h2", "t", "at", "n", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(8)], names)
 
-    return texts.select("t", "text", "lives").mapInArrow(run, "g long, h2 long, t binary, at long, n long, data binary")
+    return texts.select("t", "text", "lives").mapInArrow(run, "kind int, g long, part long, parts long, t binary, at long, n long, data binary")
 
 
 def _compare(rows: list[tuple], size: int) -> list[tuple]:
-    """Runs (t, start, end) of window starts that are repeated among contexts
-    (g, t, at, n, data), which hold whole grams' groups."""
-    buffer = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    lengths, n = np.array([len(r[4]) for r in rows]), np.array([r[3] for r in rows])
+    """What whole groups' contexts (kind, g, part, parts, t, at, n, data) of one kind tell:
+    (t, kind, start, end, null, null) of runs of window starts that are repeated in their
+    group; and, of grams in several groups, (t, kind, start, end, h1, h2) of each other
+    window, with null start and end of each distinct repeated one."""
+    kind = rows[0][0]
+    buffer = np.frombuffer(b"".join(r[7] for r in rows), np.uint64 if kind == WORDS else np.uint8)
+    lengths, n = np.array([len(r[7]) for r in rows]) // buffer.itemsize, np.array([r[6] for r in rows])
     begin = np.cumsum(lengths) - lengths
-    starts = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hashes = window_hash(prefix_hash(buffer), starts, starts + size)
-    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    starts = starts[counts[inverse] > 1]
-    if not len(starts):
-        return []
-    # Only bytes of windows that may be repeated are sorted, pieces apart by 0.
-    edge = np.zeros(len(buffer) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + size, -1)
-    used = np.cumsum(edge)[:-1] > 0
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    piece = np.flatnonzero(used)
-    gap = np.concatenate(([True], (np.diff(piece) > 1) | (np.diff(owner[piece]) != 0)))
-    place = np.arange(len(piece)) + np.cumsum(gap)  # each piece has a 0 before it
-    letters = np.zeros(place[-1] + 2, np.int64)
-    letters[place] = buffer[piece].astype(np.int64) + 1
-    to = np.zeros(len(buffer), np.int64)
-    to[piece] = place
-    same = starts[repeated_starts(letters, to[starts], size)]
+    every = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row = np.repeat(np.arange(len(rows)), n)
+    prefix = prefix_hash(buffer)
+    hashes = window_hash(prefix, every, every + size)
+    group = np.cumsum([i > 0 and r[1:3] != rows[i - 1][1:3] for i, r in enumerate(rows)])
+    mark = np.zeros(len(every), bool)
+    # The group is part of the key, so that a group's result is its own.
+    _, inverse, counts = np.unique(hashes ^ mix64(group.astype(np.uint64) + np.uint64(1))[row], return_inverse=True, return_counts=True)
+    due = np.flatnonzero(counts[inverse] > 1)
+    if len(due):
+        # Only letters of windows that may be repeated are sorted, pieces apart by 0.
+        edge = np.zeros(len(buffer) + 1, np.int32)
+        np.add.at(edge, every[due], 1)
+        np.add.at(edge, every[due] + size, -1)
+        used = np.cumsum(edge)[:-1] > 0
+        owner = np.repeat(np.arange(len(rows)), lengths)
+        piece = np.flatnonzero(used)
+        gap = np.concatenate(([True], (np.diff(piece) > 1) | (np.diff(owner[piece]) != 0)))
+        place = np.arange(len(piece)) + np.cumsum(gap)  # each piece has a 0 before it
+        letters = np.zeros(place[-1] + 2, np.int64)
+        small = buffer[piece].astype(np.int64) if kind == BYTES else np.unique(buffer[piece], return_inverse=True)[1]
+        letters[place] = small + 1
+        to = np.zeros(len(buffer), np.int64)
+        to[piece] = place
+        number: dict[bytes, int] = {}
+        text = np.array([number.setdefault(r[4], len(number)) for r in rows])
+        mark[due] = repeated_starts(letters, to[every[due]], size, text[row[due]] if kind == WORDS else None)
     out = []
+    same = np.flatnonzero(mark)
     if len(same):
-        cut = np.flatnonzero(np.concatenate(([True], (np.diff(same) > 1) | (np.diff(owner[same]) != 0), [True])))
+        cut = np.flatnonzero(np.concatenate(([True], (np.diff(every[same]) > 1) | (np.diff(row[same]) != 0), [True])))
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            r = rows[owner[same[i]]]
-            at = r[2] - int(begin[owner[same[i]]])
-            out.append((r[1], at + int(same[i]), at + int(same[j - 1]) + 1))
+            r = rows[row[same[i]]]
+            at = r[5] - int(begin[row[same[i]]])
+            out.append((r[4], kind, at + int(every[same[i]]), at + int(every[same[j - 1]]) + 1, None, None))
+    several = np.array([r[3] > 1 for r in rows])[row]
+    if several.any():
+        first = np.zeros(len(every), bool)  # one of each distinct repeated window of a group
+        first[same[np.unique(inverse[same], return_index=True)[1]]] = True
+        chosen = np.flatnonzero(several & (~mark | first))
+        h1 = hashes[chosen].view(np.int64).tolist()
+        h2 = _second(prefix, every[chosen], every[chosen] + size, buffer).view(np.int64).tolist()
+        for k, a, z in zip(chosen.tolist(), h1, h2, strict=True):
+            r = rows[row[k]]
+            start = None if mark[k] else r[5] + int(every[k] - begin[row[k]])
+            out.append((r[4], kind, start, None if mark[k] else start + 1, a, z))
     return out
 
 
-def _settle(cut: DataFrame, size: int) -> DataFrame:
-    """(t, start, end): runs of window starts repeated elsewhere, of the contexts with data."""
+def _settle(cut: DataFrame, size: int, passage: int) -> DataFrame:
+    """(t, kind, start, end): runs of window starts repeated elsewhere, of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
+        types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
-        def batch(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["t", "start", "end"])
+        def batch(rows):
+            found = _compare(rows, passage if rows[0][0] == WORDS else size)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(types)], ["t", "kind", "start", "end", "h1", "h2"])
 
         for b in batches:
-            for g, t, at, n, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if rows and rows[-1][:3] == (g, t, at):
+            for r in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if rows and rows[-1][:3] + rows[-1][4:6] == r[:3] + r[4:6]:
                     continue
-                if held > BLOCK and rows[-1][0] != g:
-                    yield batch(_compare(rows, size))
+                if rows and (rows[-1][0] != r[0] or held > BLOCK and rows[-1][1:3] != r[1:3]):
+                    yield batch(rows)
                     rows, held = [], 0
-                rows.append((g, t, at, n, data))
-                held += len(data)
+                rows.append(r)
+                held += len(r[7])
         if rows:
-            yield batch(_compare(rows, size))
+            yield batch(rows)
 
-    near = cut.where("data IS NOT NULL").select("g", "t", "at", "n", "data").repartition("g").sortWithinPartitions("g", "t", "at")
-    return near.mapInArrow(run, "t binary, start long, end long")
+    near = cut.repartition("g", "part").sortWithinPartitions("kind", "g", "part", "t", "at")
+    settled = stage(near.mapInArrow(run, "t binary, kind int, start long, end long, h1 long, h2 long"), "repeats-settled")
+    owner = F.when(F.col("kind") == BYTES, F.xxhash64("t", "start")).otherwise(F.xxhash64("t"))
+    loose = settled.where("h1 IS NOT NULL").withColumn("owner", owner)
+    again = loose.groupBy("kind", "h1", "h2").agg(F.max(F.col("start").isNull()).alias("known"), F.min("owner").alias("a"), F.max("owner").alias("b")).where("known OR a <> b").select("kind", "h1", "h2")
+    apart = loose.where("start IS NOT NULL").join(again, ["kind", "h1", "h2"]).select("t", "kind", "start", "end")
+    return settled.where("h1 IS NULL").select("t", "kind", "start", "end").unionByName(apart)
 
 
 def _keep(texts: DataFrame, size: int) -> DataFrame:
@@ -345,53 +404,68 @@ def _keep(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("t", "text", "runs").mapInArrow(run, "t binary, n_removed long, n_spans long, kept binary")
 
 
-def repeated_runs(docs: DataFrame, profile: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
-    """(t, start, end) for texts t: runs of places, end exclusive, at which windows start
-    that also start anywhere else, apart from other copies of the whole text."""
-    zipped = profile.where(F.size("first") > 0).select("t", F.posexplode(F.arrays_zip("first", "last", "g", "c1", "c2")).alias("k", "x")).select("t", "x.*")
-    rows = zipped.withColumn("place", F.xxhash64("t", "first"))
+def repeated_runs(docs: DataFrame, profile: DataFrame, size: int = SIZE, passage: int = PASSAGE, group: int = GROUP) -> DataFrame:
+    """(t, kind, start, end) for texts t: runs of places, end exclusive, at which windows
+    start that also start anywhere else (bytes) or in another text (words), apart from
+    other copies of the whole text."""
+    rows = profile.where(F.size("first") > 0).select("t", F.explode(F.arrays_zip("first", "last", "g", "c1", "c2")).alias("x")).select("t", "x.*")
+    kind = F.col("g").bitwiseAND(F.lit(1).cast("long"))
+    rows = rows.withColumn("place", F.when(kind == BYTES, F.xxhash64("t", "first")).otherwise(F.xxhash64("t")))
     by_content = rows.groupBy("g", "c1", "c2").agg(F.min("place").alias("owner"), F.max("place").alias("other"))
     by_content = stage(by_content.select("g", "c1", "c2", "owner", (F.col("owner") != F.col("other")).alias("dup")), "repeats-contents")
     by_gram = by_content.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = by_content.join(by_gram, "g", "left").where("dup OR m > 1")
     shared = stage(shared, "repeats-shared")
-    flagged = rows.join(shared, ["g", "c1", "c2"]).select("t", "first", "last", "g", "dup", F.coalesce((F.col("m") > 1) & (F.col("place") == F.col("owner")), F.lit(False)).alias("live"), F.coalesce(F.col("m") > hot, F.lit(False)).alias("hot"))
+    flagged = rows.join(shared, ["g", "c1", "c2"]).select("t", "first", "last", "g", "dup", F.coalesce((F.col("m") > 1) & (F.col("place") == F.col("owner")), F.lit(False)).alias("live"), F.ceil(F.coalesce("m", F.lit(1)) / group).alias("parts"))
     flagged = stage(flagged, "repeats-flagged")
-    sure = flagged.where("dup").select("t", F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
-    lives = flagged.where("live").groupBy("t").agg(F.collect_set(F.struct("first", "last", "g", "hot")).alias("lives"))
+    sure = flagged.where("dup").select("t", kind.cast("int").alias("kind"), F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
+    part = F.pmod(F.xxhash64("t", "first"), F.col("parts"))
+    lives = flagged.where("live").groupBy("t").agg(F.collect_set(F.struct("first", "last", "g", part.alias("part"), "parts")).alias("lives"))
     lives = stage(lives, "repeats-lives")
-    cut = stage(_cut(_texts(docs, lives.select("t")).join(lives, "t"), size), "repeats-contexts")
-    found = _settle(cut, size)
-    loose = cut.where("data IS NULL").select("g", "h2", "t", "at", F.xxhash64("t", "at").alias("place"))
-    again = loose.groupBy("g", "h2").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("g", "h2")
-    apart = loose.join(again, ["g", "h2"]).select("t", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
-    runs = stage(sure.unionByName(found).unionByName(apart).distinct(), "repeats-runs")
+    cut = stage(_cut(_texts(docs, lives.select("t")).join(lives, "t"), size, passage), "repeats-contexts")
+    runs = stage(sure.unionByName(_settle(cut, size, passage)).distinct(), "repeats-runs")
     unstage(by_content, shared, flagged, lives, cut)
     return runs
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of docs: the bytes covered
-    by a string of size bytes that also starts elsewhere are removed, in the same document
-    or another; strings never cross documents.
+def _covered(runs: DataFrame, size: int) -> DataFrame:
+    """(t, covered, spans): places that windows of size cover from the runs of their starts,
+    and how many stretches they make. A window over a text's runs, in order."""
+    before = Window.partitionBy("t").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.col("end") + F.lit(size - 1)
+    at = runs.select("t", "start", stop.alias("stop"), F.max(stop).over(before).alias("past"))
+    fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("past", "start")))
+    return at.groupBy("t").agg(F.sum(fresh).alias("covered"), F.count_if(F.col("past").isNull() | (F.col("start") > F.col("past"))).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_words, n_passage_words,
+    n_passages) per row of docs: the bytes covered by a string of size bytes that also
+    starts elsewhere are removed, in the same document or another; strings never cross
+    documents. n_passage_words: words covered by strings of passage words that also stand
+    in another document, n_passages the stretches they make; these are only counted.
 
     Null texts are empty. Repeated rows are documents with equal texts, so each loses
     what size bytes cover. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = stage(_profile(rows, size, gram), "repeats-profile")
+    profile = stage(_profile(rows, (size, gram, passage, passage_gram)), "repeats-profile")
     copies = profile.groupBy("t").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    runs = repeated_runs(rows, profile, size, hot)
-    own = runs.join(copies, "t", "left_anti")  # a text with copies goes whole
-    own = stage(own.groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "repeats-by-text")
+    runs = repeated_runs(rows, profile, size, passage, group)
+    alone = stage(runs.join(copies, "t", "left_anti"), "repeats-alone")  # a text with copies goes whole
+    own = stage(alone.where(F.col("kind") == BYTES).groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "repeats-by-text")
     kept = stage(_keep(_texts(rows, own.select("t")).join(own, "t"), size), "repeats-kept")
-    unstage(runs, own)
-    out = profile.select("doc_id", "n", "t", "sha").join(kept, "t", "left").join(copies, "t", "left")
-    whole = (F.col("copies") > 1) & (F.col("n") >= size)
+    told = stage(_covered(alone.where(F.col("kind") == WORDS), passage), "repeats-passages")
+    unstage(runs, alone, own)
+    out = profile.select("doc_id", "n", "n_words", "t", "sha").join(kept, "t", "left").join(told, "t", "left").join(copies, "t", "left")
+    whole, whole_words = ((F.col("copies") > 1) & (F.col(c) >= least) for c, least in (("n", size), ("n_words", passage)))
     return out.select(
         "doc_id",
         F.col("n").alias("n_bytes"),
         F.when(whole, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "sha")))).alias("kept_sha256"),
+        "n_words",
+        F.when(whole_words, F.col("n_words")).otherwise(F.coalesce("covered", F.lit(0))).cast("long").alias("n_passage_words"),
+        F.when(whole_words, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_passages"),
     )

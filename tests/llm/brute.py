@@ -140,6 +140,22 @@ def repeats(docs, size=400):
     return sorted(out, key=str)
 
 
+def passages(docs, size=51):
+    where = defaultdict(set)
+    split = [(d, SPACED.findall(t or "")) for d, t in docs]
+    for k, (_, w) in enumerate(split):
+        for i in range(len(w) - size + 1):
+            where[tuple(w[i : i + size])].add(k)
+    out = []
+    for d, w in split:
+        mark = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            if len(where[tuple(w[i : i + size])]) > 1:
+                mark[i : i + size] = [True] * size
+        out.append((d, len(w), sum(mark), sum(1 for i in range(len(w)) if mark[i] and (i == 0 or not mark[i - 1]))))
+    return sorted(out)
+
+
 def mix_targets(docs):
     sizes = defaultdict(int)
     for source, text in docs:
@@ -166,3 +182,28 @@ def store_rows(docs, tokenizer, end_id):
         out[doc] = [at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))]
         at += len(ids)
     return out
+
+
+def bpe_ranks(path):
+    import base64
+
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def bpe_count(text, ranks, pattern, known):
+    """Tokens of a text: pieces by the pattern, their bytes merged pair by pair, lowest rank first."""
+    import regex
+
+    total = 0
+    for piece in regex.findall(pattern, text or ""):
+        if piece not in known:
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known[piece] = len(parts)
+        total += known[piece]
+    return total
