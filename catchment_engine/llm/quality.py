@@ -1,13 +1,16 @@
 """Quality rules with thresholds that adapt to language and source.
 
-All work is done by DataFrame operations. Per language and source, mergeable
-quantile sketches (percentile_approx) of a few ratios give fences; documents are
-joined with the fences of their group and filtered. Groups of few documents take
-the fences of their language, and those the fences of all documents.
+All work is done by DataFrame operations. Per language and source, mergeable quantile
+sketches (percentile_approx) of a few ratios give fences, on either side of what fixed
+cutoffs would be; documents are joined with the fences of their group and filtered. A
+group's quantiles are pooled with those of its language, and these with all documents',
+by weight: there is no size at which a group changes its rule.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,29 +22,42 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Accuracy of the sketches: the rank error is a share 1/ACCURACY of a group.
 ACCURACY = 10_000
-#: Documents that a group needs for fences of its own.
-LEAST_GROUP = 200
-#: Fences: the upper is the median plus REACH times its distance to the quantile
-#: 1 - OUTER, but at least the floor; the lower, with the quantile OUTER, in the same way.
-OUTER, REACH = 0.25, 8.0
-#: Ratios with the floor of the upper fence and the ceiling of the lower one (None: no fence).
+#: Documents that the parent's quantiles weigh in a group's.
+PRIOR = 200.0
+
+
+class Fence(NamedTuple):
+    """The upper fence is the median plus reach times its distance to the quantile
+    1 - outer, that distance at least least; the lower, with the quantile outer, in the same
+    way. least is for ratios that are 0 in nearly all documents of a group."""
+
+    outer: float
+    reach: float
+    least: float
+    lower: bool = False
+
+
 RATIOS = {
-    "symbol_ratio": (0.05, None),
-    "dup_line_ratio": (0.4, None),
-    "repeat_ratio": (0.3, None),
-    "mean_word": (9.0, 2.5),
+    "symbol_ratio": Fence(0.1, 4.0, 0.01),
+    "dup_line_ratio": Fence(0.02, 4.0, 0.05),
+    "repeat_ratio": Fence(0.02, 4.0, 0.03),
+    "mean_word": Fence(0.25, 8.0, 0.05, True),
 }
+#: Columns that features and judge add.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *RATIOS, "n_group", "kept"]
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (default: doc_id, lang, source) with n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words (long) and base_failed of each whole text.
+    n_symbols, n_dup_lines, n_repeat_words (long), base_failed and the ratios of each whole
+    text.
 
-    Null and empty texts have no words; every row of docs gives a row. Repeated
-    windows are found by sorting a text's window hashes, so that a long text costs
-    n log n.
+    Null and empty texts have no words and null ratios; every row of docs gives a row, and
+    an empty table none. A column of keep that is named like one of these gets the suffix
+    _in. Repeated windows are found by sorting a text's window hashes, so that a long text
+    costs n log n.
     """
     keep = ["doc_id", "lang", "source"] if keep is None else keep
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -67,7 +83,7 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     covered = F.aggregate(F.transform("__at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__at", k + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda acc, x: acc + x)
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     return d.select(
-        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col(f"__k{i}").alias(f"{c}_in" if c.lower() in MEASURES else c) for i, c in enumerate(keep)],
         "n_words",
         "word_chars",
         "n_symbols",
@@ -81,18 +97,23 @@ def features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     )
 
 
-def fences(feats: DataFrame) -> DataFrame:
-    """(lang, source, n_group, level, <ratio>_high, <ratio>_low) for each language and
-    source of feats. Only documents that pass the base rules feed the sketches, which
-    each task builds for itself and merges after one row per group and task.
+def fences(feats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, source, n_group, <ratio>_high, <ratio>_low) for each language and source of
+    feats, null ones too. Only documents that pass the base rules feed the sketches, which
+    each task builds for itself and merges after one row per group and task. Where no
+    document passes, fences are null and hold nobody back.
 
-    level: 0 the group's own fences, 1 its language's, 2 those of all documents.
+    feats is read more than once: if it isn't a staged table, its ratios are staged first.
     """
-    sketches = [F.percentile_approx(r, F.array(F.lit(OUTER), F.lit(0.5), F.lit(1 - OUTER)), F.lit(ACCURACY)).alias(r) for r in RATIOS]
+    groups = [F.col(lang).alias("lang"), F.col(source).alias("source")]
+    if not hasattr(feats, "_staged_at"):
+        feats = stage(feats.select(F.col(lang), F.col(source), "base_failed", *RATIOS), "quality-ratios")
+    feats = feats.select(*groups, "base_failed", *RATIOS)
+    sketches = [F.percentile_approx(r, F.array(F.lit(f.outer), F.lit(0.5), F.lit(1 - f.outer)), F.lit(ACCURACY)).alias(r) for r, f in RATIOS.items()]
     rolled = feats.where(~F.col("base_failed")).rollup("lang", "source").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), *sketches)
-    rolled = stage(rolled, "quality-sketches")
-    groups = feats.select("lang", "source").distinct()
-    out = groups.join(F.broadcast(rolled.where("g = 3").select(F.struct("n", *RATIOS).alias("all"))), F.lit(True), "left")
+    rolled = stage(rolled, "quality-sketches")  # a row per group, language and one for all
+    out = feats.select("lang", "source").distinct()
+    out = out.join(F.broadcast(rolled.where("g = 3").select(F.struct("n", *RATIOS).alias("all"))), F.lit(True), "left")
     for g, keys, name in ((1, ["lang"], "by_lang"), (0, ["lang", "source"], "own")):
         part = rolled.where(F.col("g") == g).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct("n", *RATIOS).alias(name))
         on = None
@@ -100,55 +121,50 @@ def fences(feats: DataFrame) -> DataFrame:
             same = F.col(k).eqNullSafe(F.col(f"__{k}"))
             on = same if on is None else on & same
         out = out.join(part, on, "left").drop(*[f"__{k}" for k in keys])
-    level = F.when(F.col("own.n") >= LEAST_GROUP, 0).when(F.col("by_lang.n") >= LEAST_GROUP, 1).otherwise(2)
-    out = out.withColumn("level", level).withColumn("q", F.when(F.col("level") == 0, F.col("own")).when(F.col("level") == 1, F.col("by_lang")).otherwise(F.col("all")))
-
-    def fence(ratio: str, sign: int, guard: float | None) -> Column:
-        if guard is None:
-            return F.lit(None).cast("double")
-        middle = F.get(F.col("q")[ratio], 1)
-        reach = F.get(F.col("q")[ratio], 1 + sign) - middle
-        return (F.greatest if sign > 0 else F.least)(F.lit(guard), middle + F.lit(REACH) * reach)
-
-    return out.select(
-        "lang",
-        "source",
-        F.coalesce("own.n", F.lit(0)).cast("long").alias("n_group"),
-        "level",
-        *[fence(r, 1, high).alias(f"{r}_high") for r, (high, _) in RATIOS.items()],
-        *[fence(r, -1, low).alias(f"{r}_low") for r, (_, low) in RATIOS.items()],
-    )
-
 
-def judge(feats: DataFrame, at: DataFrame) -> DataFrame:
-    """feats with kept: false if base_failed or a ratio is beyond a fence of its group.
-    A null ratio (no words) is beyond none. Null languages and sources are groups."""
-    at = at.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
-    joined = feats.join(at, feats["lang"].eqNullSafe(at["__lang"]) & feats["source"].eqNullSafe(at["__source"]))
+    def pooled(part: str, r: str, above: Column) -> Column:
+        n = F.col(f"{part}.n")
+        both = F.zip_with(F.col(part)[r], above, lambda x, y: (n * x + F.lit(PRIOR) * y) / (n + F.lit(PRIOR)))
+        return F.when(F.col(part).isNull(), above).otherwise(both)
+
+    highs, lows = [], []
+    for r, f in RATIOS.items():
+        out = out.withColumn(f"q_{r}", pooled("own", r, pooled("by_lang", r, F.col("all")[r])))
+        low, middle, high = (F.get(f"q_{r}", i) for i in range(3))
+        highs.append((middle + F.lit(f.reach) * F.greatest(F.lit(f.least), high - middle)).alias(f"{r}_high"))
+        lower = middle - F.lit(f.reach) * F.greatest(F.lit(f.least), middle - low)
+        lows.append((lower if f.lower else F.lit(None).cast("double")).alias(f"{r}_low"))
+    return out.select("lang", "source", F.coalesce("own.n", F.lit(0)).cast("long").alias("n_group"), *highs, *lows)
+
+
+def judge(feats: DataFrame, at: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """feats with n_group and kept: false if base_failed or a ratio is beyond a fence of its
+    group. A null ratio (no words) is beyond none. Null languages and sources are groups."""
+    named = {"lang": "__at_lang", "source": "__at_source", **{f"{r}_{side}": f"__{r}_{side}" for r in RATIOS for side in ("high", "low")}}
+    at = at.withColumnsRenamed(named)
+    joined = feats.join(at, feats[lang].eqNullSafe(at["__at_lang"]) & feats[source].eqNullSafe(at["__at_source"]))
     inside = F.lit(True)
     for r in RATIOS:
-        inside = inside & F.coalesce(F.col(r) <= F.col(f"{r}_high"), F.lit(True)) & F.coalesce(F.col(r) >= F.col(f"{r}_low"), F.lit(True))
-    return joined.drop("__lang", "__source").withColumn("kept", ~F.col("base_failed") & inside)
+        inside = inside & F.coalesce(F.col(r) <= F.col(f"__{r}_high"), F.lit(True)) & F.coalesce(F.col(r) >= F.col(f"__{r}_low"), F.lit(True))
+    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop(*named.values())
 
 
 def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """Features and verdict of every row of docs: one pass over the texts, whose
-    features are written to shared storage, then small aggregates and a join."""
+    """The columns of keep (default: doc_id), measures, n_group and verdict of every row of
+    docs: one pass over the texts, whose features are written to shared storage, then small
+    aggregates and a join. Columns of keep are named as in features."""
     keep = ["doc_id"] if keep is None else keep
-    named = docs.withColumns({"lang": F.col(lang_col).cast("string"), "source": F.col(source_col).cast("string")})
-    feats = stage(features(named, text_col, [*keep, "lang", "source"]), "quality-features")
-    return judge(feats, stage(fences(feats), "quality-fences"))
+    named = docs.withColumns({"__lang": F.col(lang_col).cast("string"), "__source": F.col(source_col).cast("string")})
+    feats = stage(features(named, text_col, [*keep, "__lang", "__source"]), "quality-features")
+    at = stage(fences(feats, "__lang", "__source"), "quality-fences")
+    return judge(feats, at, "__lang", "__source").drop("__lang", "__source")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of documents that are kept, with all their columns. Texts are read twice,
-    for the fences and for the verdicts, and never shuffled."""
-    named = docs.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
-    narrow = stage(features(named), "quality-features")
-    at = stage(fences(narrow), "quality-fences")
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
-    wide = features(named.select("text", "lang", "source", whole), keep=["__row", "lang", "source"])
-    # Not a plain filter: the planner would push that below the features and copy their
-    # expressions into it and into each other.
-    rows = judge(wide, at).select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
-    return rows.where("__row IS NOT NULL").select("__row.*")
+    """The rows of documents that are kept, with all their columns, whatever these are named.
+    Features are computed once and written beside the rows; no text is shuffled. Repeated
+    rows stay repeated."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    named = docs.select(F.col("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), whole)
+    rows = stage(features(named, keep=["__row", "lang", "source"]), "quality-rows")
+    return judge(rows, stage(fences(rows), "quality-fences")).where("kept").select("__row.*")

@@ -117,3 +117,21 @@ def test_mixing_decides_each_row(spark):
     assert got == +want
     # Both ends fall among rows without an id: of a among different rows, of c among equal ones.
     assert {1, 2} <= {n for (s, _, _), n in got.items() if s == "a"} and 120 < sum(n for (s, _, _), n in got.items() if s == "c") < 240
+
+
+def test_stages_on_awkward_tables(spark):
+    """Empty tables; null ids, texts, languages and sources; columns with the stages' own names."""
+    own = ["__row", "__key", "__source", "__once", "__twice", "__copy", "__h1", "group", "kept", "n_words", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in own)
+    rows = [(None if k % 3 == 0 else k, None if k == 4 else prose(k, 30 + k), None if k % 5 == 0 else "en", None if k % 4 == 0 else "s", k, *[f"{c}{k}" for c in own]) for k in range(1, 24)]
+    rows += [rows[0], rows[1], (50, "", None, None, None, *[None] * len(own))]
+    for table in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema).repartition(3)):
+        for name, f in corpus_pipeline.STAGES:
+            out = f(spark, table, SF)
+            got = [tuple(r) for r in out.collect()]
+            if name == "token store":
+                assert len(got) == table.count() and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+                continue
+            assert out.columns == table.columns and set(got) <= {tuple(r) for r in table.collect()}
+            if table.head(1):
+                assert len(got) >= 20
