@@ -47,7 +47,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality as op
 
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return op.assess(documents(spark, sf_dir)).select(*columns, *op.RATIOS, "level")
+    return op.assess(documents(spark, sf_dir)).select(*columns, *op.RATIOS, "n_group")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,17 +119,18 @@ def _quality_sql() -> str:
     from . import quality as q
 
     ratios = list(q.RATIOS)
-    cuts = (q.OUTER, 0.5, 1 - q.OUTER)
-    inside, fences = [], []
-    for r, (high, low) in q.RATIOS.items():
-        lo, mid, hi = (f"max(CASE WHEN r_{r} = greatest(1, ceil({c!r}::DOUBLE * n_{r})) THEN {r} END)" for c in cuts)
-        fences.append(f"greatest({high!r}::DOUBLE, {mid} + {q.REACH!r}::DOUBLE * ({hi} - {mid})) AS {r}_high")
-        inside.append(f"coalesce({r} <= {r}_high, TRUE)")
-        if low is not None:
-            fences.append(f"least({low!r}::DOUBLE, {mid} + {q.REACH!r}::DOUBLE * ({lo} - {mid})) AS {r}_low")
-            inside.append(f"coalesce({r} >= {r}_low, TRUE)")
     ranked = ", ".join(f"row_number() OVER (PARTITION BY g, lang, source ORDER BY {r} NULLS LAST) AS r_{r}, count({r}) OVER (PARTITION BY g, lang, source) AS n_{r}" for r in ratios)
-    names = ", ".join(f"{r}_high" for r in ratios) + ", " + ", ".join(f"{r}_low" for r, (_, low) in q.RATIOS.items() if low is not None)
+    cuts, of_lang, of_group, inside = [], [], [], []
+    pool = lambda x, n, up: f"CASE WHEN {n} IS NULL THEN {up} ELSE ({n} * {x} + {q.PRIOR!r}::DOUBLE * {up}) / ({n} + {q.PRIOR!r}::DOUBLE) END"
+    for r, f in q.RATIOS.items():
+        for name, at in (("lo", f.outer), ("mid", 0.5), ("hi", 1 - f.outer)):
+            x = f"{r}_{name}"
+            cuts.append(f"max(CASE WHEN r_{r} = greatest(1, ceil({at!r}::DOUBLE * n_{r})) THEN {r} END) AS {x}")
+            of_lang.append(f"{pool(f'l.{x}', 'l.n', f'a.{x}')} AS {x}")
+            of_group.append(f"{pool(f'o.{x}', 'o.n', f'p.{x}')} AS {x}")
+        inside.append(f"coalesce({r} <= {r}_mid + {f.reach!r}::DOUBLE * greatest({f.least!r}::DOUBLE, {r}_hi - {r}_mid), TRUE)")
+        if f.lower:
+            inside.append(f"coalesce({r} >= {r}_mid - {f.reach!r}::DOUBLE * greatest({f.least!r}::DOUBLE, {r}_mid - {r}_lo), TRUE)")
     return f"""
 WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS l FROM words),
@@ -152,15 +153,50 @@ rolled AS (
   UNION ALL SELECT 1, lang, NULL, {", ".join(ratios)} FROM feats WHERE NOT base_failed
   UNION ALL SELECT 2, NULL, NULL, {", ".join(ratios)} FROM feats WHERE NOT base_failed),
 ranks AS (SELECT *, {ranked} FROM rolled),
-fences AS (SELECT g, lang, source, count(*) AS n, {", ".join(fences)} FROM ranks GROUP BY 1, 2, 3),
-levels AS (
-  SELECT f.*, CASE WHEN o.n >= {q.LEAST_GROUP} THEN 0 WHEN l.n >= {q.LEAST_GROUP} THEN 1 ELSE 2 END AS "level"
-  FROM feats f LEFT JOIN fences o ON o.g = 0 AND o.lang IS NOT DISTINCT FROM f.lang AND o.source IS NOT DISTINCT FROM f.source
-  LEFT JOIN fences l ON l.g = 1 AND l.lang IS NOT DISTINCT FROM f.lang)
+quantiles AS (SELECT g, lang, source, CAST(count(*) AS DOUBLE) AS n, {", ".join(cuts)} FROM ranks GROUP BY 1, 2, 3),
+named AS (SELECT DISTINCT lang, source FROM feats),
+by_lang AS (
+  SELECT x.lang, {", ".join(of_lang)} FROM (SELECT DISTINCT lang FROM named) x
+  LEFT JOIN quantiles a ON a.g = 2 LEFT JOIN quantiles l ON l.g = 1 AND l.lang IS NOT DISTINCT FROM x.lang),
+by_group AS (
+  SELECT x.lang, x.source, CAST(coalesce(o.n, 0) AS BIGINT) AS n_group, {", ".join(of_group)} FROM named x JOIN by_lang p ON p.lang IS NOT DISTINCT FROM x.lang
+  LEFT JOIN quantiles o ON o.g = 0 AND o.lang IS NOT DISTINCT FROM x.lang AND o.source IS NOT DISTINCT FROM x.source)
 SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(inside)} AS kept,
-  {", ".join(ratios)}, CAST("level" AS INTEGER) AS "level"
-FROM levels v LEFT JOIN (SELECT g, lang, source, {names} FROM fences) f
-  ON f.g = v."level" AND (v."level" = 2 OR f.lang IS NOT DISTINCT FROM v.lang) AND (v."level" > 0 OR f.source IS NOT DISTINCT FROM v.source)"""
+  {", ".join(ratios)}, n_group
+FROM feats v JOIN by_group f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source"""
+
+
+def _contamination_sql() -> str:
+    """Windows as texts, looked up among the documents' runs of as many words; nearness from
+    the documents that hold all of a window's words."""
+    from . import decontamination as d
+
+    words = lambda table, key: f"SELECT {key}, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') END AS w FROM {table}"
+    return f"""
+WITH docs AS ({words("documents", "doc_id")}), items AS ({words("benchmark", "item_id")}),
+windows AS (
+  SELECT item_id, least({d.WINDOW}, len(w)) AS l, list_slice(w, i, i + least({d.WINDOW}, len(w)) - 1) AS t, array_to_string(t, ' ') AS g
+  FROM items, unnest(range(1, greatest(len(w) - {d.WINDOW - 1}, 1) + 1)) u(i) WHERE len(w) > 0),
+kinds AS (SELECT DISTINCT l, g FROM windows),
+runs AS (
+  SELECT doc_id, i, k.l, array_to_string(list_slice(w, i, i + k.l - 1), ' ') AS g
+  FROM docs, (SELECT DISTINCT l FROM kinds) k, unnest(range(1, len(w) - k.l + 2)) u(i)),
+hits AS (SELECT doc_id, i, l, g FROM runs JOIN kinds USING (l, g)),
+hit_words AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM hits, unnest(range(0, l)) u(k) GROUP BY 1),
+hit_items AS (
+  SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS x FROM (SELECT DISTINCT doc_id, g FROM hits) JOIN windows USING (g) WHERE item_id IS NOT NULL GROUP BY 1),
+terms AS (SELECT DISTINCT g, unnest(t) AS word, len(list_distinct(t)) AS n FROM windows),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+could AS (SELECT doc_id, g FROM (SELECT DISTINCT doc_id, word FROM places) JOIN terms USING (word) GROUP BY doc_id, g HAVING count(*) = max(n)),
+found AS (SELECT c.doc_id, c.g, t.n, t.word, p.i FROM could c JOIN terms t ON t.g = c.g JOIN places p ON p.doc_id = c.doc_id AND p.word = t.word),
+near AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT a.doc_id, a.g, a.i FROM found a JOIN found b ON b.doc_id = a.doc_id AND b.g = a.g AND b.i BETWEEN a.i AND a.i + {2 * d.WINDOW - 1}
+    GROUP BY a.doc_id, a.g, a.i HAVING count(DISTINCT b.word) = max(a.n))),
+near_items AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM near JOIN windows USING (g) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, CAST(coalesce(len(i.x), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(i.x, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, coalesce(e.n, 0) AS n_near_items
+FROM docs d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id) LEFT JOIN near_items e USING (doc_id)"""
 
 
 def _mixing_sql() -> str:
@@ -200,7 +236,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express on whole tables. It can't express the
-    others: op1 (places of matches), op2 and op9 (tokenizers), op3 (a parser), op4
-    (proximity to a segment's rarest term), op7 (suffix sorting takes too long) and op10
-    (a trained network); tests hold these against brute force."""
-    return {"op5_minhash_dedup": _near_duplicates_sql(), "op6_quality_rules": _quality_sql(), "op8_mixing": _mixing_sql()}
+    others: op1 (patterns with a look at what stands beside), op2 and op9 (tokenizers), op3 (a
+    parser), op7 (a window per byte takes too long) and op10 (a trained network); tests hold
+    these against brute force."""
+    return {"op4_decontamination": _contamination_sql(), "op5_minhash_dedup": _near_duplicates_sql(), "op6_quality_rules": _quality_sql(), "op8_mixing": _mixing_sql()}
