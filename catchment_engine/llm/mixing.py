@@ -22,10 +22,9 @@ BUDGET = 1.5
 PASSES = 2
 #: Words in a packet.
 PACKET = 512
-#: Hexadecimal digits of the shuffling hash that part a source into blocks.
-DIGITS = 3
-#: Blocks of finish time in the global order.
-FINISH_BLOCKS = 4096
+#: Rows in a block of a source or of finish time, about, and the least number of hexadecimal
+#: digits of the shuffling hash that part a source into blocks.
+BLOCK_ROWS, LEAST_DIGITS = 20_000, 3
 
 
 def word_count(text: Column) -> Column:
@@ -85,6 +84,14 @@ def _running(df: DataFrame, keys: list[str], block: str, value: str, order: list
     return out.drop("__block", "__earlier", *[f"__{k}" for k in keys])
 
 
+def digits_for(rows: int) -> int:
+    """Digits whose values part that many rows into blocks of about BLOCK_ROWS."""
+    digits = LEAST_DIGITS
+    while BLOCK_ROWS << 4 * digits < rows:
+        digits += 1
+    return digits
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = BUDGET, passes: int = PASSES, packet: int = PACKET, seed: str = "mix") -> DataFrame:
     """(doc_id, size, source, source_size, target, taken, first_finish, text_hash) per row of docs.
 
@@ -96,9 +103,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), text_hash(F.col(text_col)).alias("text_hash"))
     rows = stage(rows, "mix-sizes")
+    digits = digits_for(rows.count())
     per = targets(rows.select("source", "size"), budget=budget, passes=passes)
     per = stage(per, "mix-targets").select(F.col("source").alias("__source"), "source_size", "target")
-    rows = rows.withColumn("tag", queue_tag(F.col("doc_id"), seed)).withColumn("block", F.substring("tag", 1, DIGITS))
+    rows = rows.withColumn("tag", queue_tag(F.col("doc_id"), seed)).withColumn("block", F.substring("tag", 1, digits))
     queued = _running(rows, ["source"], "block", "size", ["tag", "doc_id", "size", "text_hash"])
     queued = queued.join(per, queued["source"].eqNullSafe(per["__source"])).drop("__source")
     queued = queued.withColumn("copy", F.row_number().over(Window.partitionBy("source", "block").orderBy("tag", "doc_id", "size", "text_hash")))
@@ -110,7 +118,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     finish = (F.col("pass") * F.col("source_size") + F.col("before") + F.col("at") + F.col("words")) / F.col("target")
     # Packets that finish after time 2 can't be sent: at time 1 each queue has sent its target.
     sent = one.select("source", "block", "copy", "words", finish.alias("finish")).where("finish < 2")
-    sent = sent.withColumn("slot", F.floor(F.col("finish") * FINISH_BLOCKS)).withColumn("all", F.lit(0))
+    sent = sent.withColumn("slot", F.floor(F.col("finish") * 16**digits)).withColumn("all", F.lit(0))
     sent = _running(sent.withColumnRenamed("block", "queue"), ["all"], "slot", "words", ["finish", "source", "queue", "copy"])
     total = F.floor(F.lit(float(budget)) * F.col("__all"))
     everything = stage(rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("__all")), "mix-total")
