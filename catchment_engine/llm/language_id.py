@@ -26,7 +26,7 @@ LENGTH = 128
 WIDTHS, FILTERS, DIMENSIONS = (2, 3, 4), 8, 8
 #: Bounds of the training sample: documents of a language and of all, but one of each language
 #: at least; characters of each.
-SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_BYTES = 600, 100_000, 1024
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_BYTES = 600, 50_000, 1024
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Windows in one forward pass.
 FORWARD = 512
