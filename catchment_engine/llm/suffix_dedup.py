@@ -289,7 +289,10 @@ def _cut(texts: DataFrame, size: int, passage: int) -> DataFrame:
     return texts.select("t", "text", "lives").mapInArrow(run, "kind int, g long, part long, parts long, t binary, at long, n long, data binary")
 
 
-def _compare(rows: list[tuple], size: int) -> list[tuple]:
+_SETTLED = pa.schema([("t", pa.binary()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+
+def _compare(rows: list[tuple], size: int) -> pa.RecordBatch:
     """What whole groups' contexts (kind, g, part, parts, t, at, n, data) of one kind tell:
     (t, kind, start, end, null, null) of runs of window starts that are repeated in their
     group; and, of grams in several groups, (t, kind, start, end, h1, h2) of each other
@@ -333,18 +336,18 @@ def _compare(rows: list[tuple], size: int) -> list[tuple]:
             r = rows[row[same[i]]]
             at = r[5] - int(begin[row[same[i]]])
             out.append((r[4], kind, at + int(every[same[i]]), at + int(every[same[j - 1]]) + 1, None, None))
+    found = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(_SETTLED.types)], schema=_SETTLED)
     several = np.array([r[3] > 1 for r in rows])[row]
-    if several.any():
-        first = np.zeros(len(every), bool)  # one of each distinct repeated window of a group
-        first[same[np.unique(inverse[same], return_index=True)[1]]] = True
-        chosen = np.flatnonzero(several & (~mark | first))
-        h1 = hashes[chosen].view(np.int64).tolist()
-        h2 = _second(prefix, every[chosen], every[chosen] + size, buffer).view(np.int64).tolist()
-        for k, a, z in zip(chosen.tolist(), h1, h2, strict=True):
-            r = rows[row[k]]
-            start = None if mark[k] else r[5] + int(every[k] - begin[row[k]])
-            out.append((r[4], kind, start, None if mark[k] else start + 1, a, z))
-    return out
+    if not several.any():
+        return found
+    first = np.zeros(len(every), bool)  # one of each distinct repeated window of a group
+    first[same[np.unique(inverse[same], return_index=True)[1]]] = True
+    at = np.flatnonzero(several & (~mark | first))
+    start = np.array([r[5] for r in rows])[row[at]] + every[at] - begin[row[at]]
+    texts = pa.array([r[4] for r in rows], pa.binary()).take(pa.array(row[at]))
+    hashed = [hashes[at].view(np.int64), _second(prefix, every[at], every[at] + size, buffer).view(np.int64)]
+    windows = [texts, np.full(len(at), kind, np.int32), pa.array(start, mask=mark[at]), pa.array(start + 1, mask=mark[at]), *hashed]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y if isinstance(y, pa.Array) else pa.array(y)]) for x, y in zip(found.columns, windows, strict=True)], schema=_SETTLED)
 
 
 def _settle(cut: DataFrame, size: int, passage: int) -> DataFrame:
@@ -352,23 +355,19 @@ def _settle(cut: DataFrame, size: int, passage: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-
-        def batch(rows):
-            found = _compare(rows, passage if rows[0][0] == WORDS else size)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(types)], ["t", "kind", "start", "end", "h1", "h2"])
+        width = {BYTES: size, WORDS: passage}
 
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                 if rows and rows[-1][:3] + rows[-1][4:6] == r[:3] + r[4:6]:
                     continue
                 if rows and (rows[-1][0] != r[0] or held > BLOCK and rows[-1][1:3] != r[1:3]):
-                    yield batch(rows)
+                    yield _compare(rows, width[rows[0][0]])
                     rows, held = [], 0
                 rows.append(r)
                 held += len(r[7])
         if rows:
-            yield batch(rows)
+            yield _compare(rows, width[rows[0][0]])
 
     near = cut.repartition("g", "part").sortWithinPartitions("kind", "g", "part", "t", "at")
     settled = stage(near.mapInArrow(run, "t binary, kind int, start long, end long, h1 long, h2 long"), "repeats-settled")
