@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import alnum_bytes, drop_path, new_path, sliced, stage
-from .hashing import grouped, word_hashes
+from .hashing import grouped, ragged, word_hashes
 
 #: Words of a test window.
 WINDOW = 10
 #: Words of documents in a segment, beyond the last document in it.
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 22
 #: Free positions between documents of a segment: no window or stretch crosses them.
 GAP = 64
 #: Characters of benchmark text in a block (or one item): what is sent to executors at once.
@@ -120,7 +120,8 @@ def _stretches(lists: list[np.ndarray], slop: int) -> np.ndarray:
             return near
     out = []
     for x in lists:
-        first = x[_within(near, x, x + reach)]
+        low, high = np.searchsorted(x, near - reach), np.searchsorted(x, near, side="right")
+        first = np.unique(x[ragged(low, high - low)])  # those up to reach before such a place
         for y in lists:
             first = first[_within(y, first, first + reach)]
         out.append(first)
