@@ -79,16 +79,26 @@ def band_radius(band: Column, kph: float = 70.0) -> Column:
     return band / 60 * F.lit(kph) * 1000
 
 
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body and its lambdas name it: an
+    expression named twice is computed twice, and one named in a lambda once an element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def signed_area(ring: Column) -> Column:
     """Shoelace sum from the first point, positive for a counter-clockwise ring; 0 if empty."""
-    first = F.get(ring, 0)
 
-    def step(acc: Column, p: Column) -> Column:
-        x, y = p["x"] - first["x"], p["y"] - first["y"]
-        return F.struct(x.alias("x"), y.alias("y"), (acc["sum"] + acc["x"] * y - x * acc["y"]).alias("sum"))
+    def whole(ring: Column) -> Column:
+        first = F.get(ring, 0)
+
+        def step(acc: Column, p: Column) -> Column:
+            x, y = p["x"] - first["x"], p["y"] - first["y"]
+            return F.struct(x.alias("x"), y.alias("y"), (acc["sum"] + acc["x"] * y - x * acc["y"]).alias("sum"))
+
+        start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("sum"))
+        return F.aggregate(ring, start, step, lambda acc: acc["sum"] / 2)
 
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("sum"))
-    return F.aggregate(ring, start, step, lambda acc: acc["sum"] / 2)
+    return _bound(ring, whole)
 
 
 def area(ring: Column) -> Column:
@@ -160,31 +170,51 @@ def make_valid_bowtie(ring: Column) -> Column:
 
 def clip_convex(subject: Column, window: Column) -> Column:
     """Part of a ring inside a convex counter-clockwise ring (Sutherland and Hodgman), as a
-    closed ring, empty if nothing is left."""
-    edges = F.transform(F.sequence(F.lit(0), F.size(window) - 2), lambda i: F.struct(F.get(window, i).alias("a"), F.get(window, i + 1).alias("b")))
-    open_ring = F.slice(subject, 1, F.greatest(F.size(subject) - 1, F.lit(0)))
+    closed ring, empty if nothing is left. Each ring is computed once, each point's side of an
+    edge too, and a ring wholly on an edge's inner side stays as it is."""
+    pair = F.struct(subject.alias("subject"), window.alias("window"))
+    return _bound(_bound(pair, lambda v: _clip(v["subject"], v["window"])), lambda out: F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out))
+
+
+def _clip(subject: Column, window: Column) -> Column:
+    """The open ring that clip_convex closes."""
+
+    def edge(a: Column, b: Column) -> Column:
+        return F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
 
     def by_edge(ring: Column, e: Column) -> Column:
-        def part(p: Column, i: Column) -> Column:
-            q = F.get(ring, (i + 1) % F.size(ring))
-            side_p, side_q = _cross(e["a"], e["b"], p), _cross(e["a"], e["b"], q)
-            t = F.try_divide(side_p, side_p - side_q)
+        def side(p: Column) -> Column:
+            return e["dx"] * (p["y"] - e["y"]) - e["dy"] * (p["x"] - e["x"])
+
+        def part(p: Column, q: Column) -> Column:
+            t = F.try_divide(p["side"], p["side"] - q["side"])
             hit = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
-            none = F.slice(F.array(p), 1, 0)
-            return F.concat(F.when(side_p >= 0, F.array(p)).otherwise(none), F.when((side_p >= 0) != (side_q >= 0), F.array(hit)).otherwise(none))
+            return F.array(F.when(p["side"] >= 0, point(p["x"], p["y"])), F.when((p["side"] >= 0) != (q["side"] >= 0), hit))
 
-        return F.flatten(F.transform(ring, part))
+        def cut(points: Column) -> Column:
+            after = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
+            return F.filter(F.flatten(F.zip_with(points, after, part)), lambda p: p.isNotNull())
 
-    out = F.aggregate(edges, open_ring, by_edge)
-    return F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)
+        def left(sides: Column) -> Column:
+            points = F.zip_with(ring, sides, lambda p, s: F.struct(p["x"].alias("x"), p["y"].alias("y"), s.alias("side")))
+            return F.when(F.forall(sides, lambda s: s >= 0), ring).otherwise(_bound(points, cut))
+
+        return _bound(F.transform(ring, side), left)
+
+    open_ring = F.slice(subject, 1, F.greatest(F.size(subject) - 1, F.lit(0)))
+    edges = F.slice(F.zip_with(window, F.slice(window, 2, F.size(window)), edge), 1, F.greatest(F.size(window) - 1, F.lit(0)))
+    return F.aggregate(edges, open_ring, by_edge)
 
 
 def outside_share(inner: Column, outer: Column) -> Column:
     """Share of a ring's area in its difference with a convex counter-clockwise ring; 0 for
     an empty ring or one without area, 1 if the other is empty."""
-    whole = area(inner)
-    common = F.when(is_empty(outer), 0.0).otherwise(area(clip_convex(inner, outer)))
-    return F.when(is_empty(inner) | (whole == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - common / whole))
+
+    def share(v: Column) -> Column:
+        common = F.when(is_empty(v["outer"]), 0.0).otherwise(area(clip_convex(v["inner"], v["outer"])))
+        return F.when(is_empty(v["inner"]) | (v["whole"] == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - common / v["whole"]))
+
+    return _bound(F.struct(inner.alias("inner"), outer.alias("outer"), area(inner).alias("whole")), share)
 
 
 def ring_contained(inner: Column, outer: Column, tolerance: float) -> Column:

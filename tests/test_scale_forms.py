@@ -1,6 +1,7 @@
 """Places, allocation, worker plans and validators: small cases with hot groups, ties and nulls."""
 
 import json
+import math
 import os
 import random
 import subprocess
@@ -140,6 +141,59 @@ def test_ring_difference(spark):
     assert spark.range(1).select(geometry.ring_contained(square(1.0), square(1.0 - 1e-8), 1e-6)).first()[0]
 
 
+def test_rings_are_computed_once(spark):
+    """A plan names each clip and area once: copies nested in lambdas multiply the work."""
+    corner = lambda h: geometry.disc(F.col("id") * 1.0, F.lit(0.0), F.lit(h), 16)
+    for shape, most in ((geometry.outside_share(corner(1.0), corner(2.0)), 3), (geometry.area(geometry.clip_convex(corner(1.0), corner(2.0))), 2)):
+        plan = spark.range(1).select(shape.alias("s"))._jdf.queryExecution().optimizedPlan()
+        assert plan.toString().count("aggregate(") <= most
+    assert queries.band_containment(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 6
+
+
+def test_containment_of_a_repeated_provider(spark, tmp_path):
+    """Three rows for each of a provider's rows, each by a band and the next one."""
+    spark.createDataFrame([(1,), (1,), (2,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, queries.band_containment(spark, str(tmp_path)).collect()))
+    want = [(30, 60, True, False, 0.75), (60, 120, True, False, 0.75), (120, 180, True, False, 0.555555556)]
+    assert got == sorted((k, *w) for k in (1, 1, 2) for w in want)
+
+
+def test_clips_of_any_ring(spark):
+    """Rings that cross, touch, hold or miss a convex one, star-shaped ones too, as a plain
+    Sutherland-Hodgman has them."""
+    r = random.Random(5)
+
+    def ring(n, size, spread):
+        x, y = r.uniform(-spread, spread), r.uniform(-spread, spread)
+        out = [(x + (f := size * r.uniform(0.4, 1.0) if n % 2 else size) * math.cos(2 * math.pi * k / n), y + f * math.sin(2 * math.pi * k / n)) for k in range(n)]
+        return [*out, out[0]]
+
+    def clip(ring, window):
+        out = ring[:-1]
+        for a, b in zip(window, window[1:], strict=False):
+            side = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for p in out]
+            left = []
+            for i, p in enumerate(out):
+                q, s, e = out[(i + 1) % len(out)], side[i], side[(i + 1) % len(out)]
+                left += [p] if s >= 0 else []
+                left += [(p[0] + s / (s - e) * (q[0] - p[0]), p[1] + s / (s - e) * (q[1] - p[1]))] if (s >= 0) != (e >= 0) else []
+            out = left
+        return [*out, out[0]] if out else []
+
+    pairs = [(ring(r.choice((3, 5, 8, 9)), r.choice((0.3, 1.0, 3.0)), 1.2), ring(r.choice((4, 6, 16)), 1.0, 0.2)) for _ in range(300)]
+    pairs += [(w, w) for _, w in pairs[:5]]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    got = {row["k"]: (list(map(tuple, row["c"])), row["s"]) for row in df.select("k", geometry.clip_convex(F.col("a"), F.col("b")).alias("c"), geometry.outside_share(F.col("a"), F.col("b")).alias("s")).collect()}
+    sizes = set()
+    for k, (a, b) in enumerate(pairs):
+        want = clip(a, b)
+        assert got[k][0] == [pytest.approx(p, abs=1e-12) for p in want]
+        shoelace = lambda ring: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False))) / 2
+        assert got[k][1] == pytest.approx(max(0.0, 1 - shoelace(want) / shoelace(a)), abs=1e-9)
+        sizes.add(len(want))
+    assert 0 in sizes and len(sizes) > 5
+
+
 def test_skips_are_recorded(tmp_path):
     """A pytest run writes its account: results, skips with their reasons, a sentinel at the end."""
     (tmp_path / "test_x.py").write_text("import pytest\ndef test_a(): assert 1\ndef test_b(): pytest.skip('no engine')\ndef test_c(): assert 0\n")
