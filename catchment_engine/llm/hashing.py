@@ -52,6 +52,14 @@ def window_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix64(raw + (end - begin).astype(np.uint64))
 
 
+def run_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """window_hash of every piece of a size, in order."""
+    raw = prefix[size:] - prefix[:-size]
+    raw *= _power(_INVERSE, len(prefix))[: len(raw)]
+    raw += np.uint64(size)
+    return mix64(raw)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -105,7 +113,7 @@ def grouped(texts: list, size: int):
     """Runs of neighbouring texts of about size bytes."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
-        held += len(t) if t else 0
+        held += 0 if t is None else len(t)
         if held >= size:
             yield texts[begin : i + 1]
             begin, held = i + 1, 0

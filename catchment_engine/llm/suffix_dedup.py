@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sliced, stage, unstage
-from .hashing import grouped, mix64, prefix_hash, window_hash, word_hashes
+from .hashing import grouped, mix64, prefix_hash, ragged, run_hash, window_hash, word_hashes
 
 SIZE, GRAM = 400, 160
 #: Words of a passage, and of the grams that anchor it.
@@ -124,26 +124,29 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: np.ndarray, prefix: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, gram hash) of each context of a text of size bytes at least: its
-    windows start in first..last."""
-    at = np.arange(len(data) - gram + 1)
-    full = window_hash(prefix, at, at + gram)
+def contexts(prefix: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, gram hash) of each context of texts that stand one after another, of size
+    letters each at least, from the whole's prefix_hash: its windows start in first..last."""
+    full = run_hash(prefix, gram)
     short = (full >> np.uint64(32)).astype(np.uint32)
     width = size - gram + 1
     least = _slide(short, width, np.minimum)
     edge = np.zeros(width - 1, np.uint32)
-    places = np.flatnonzero(short == _slide(np.concatenate((edge, least, edge)), width, np.maximum))
-    # Each window's anchor is its first place with the smallest hash.
-    windows = np.arange(len(least))
-    anchor = np.searchsorted(places, windows)
-    wrong = np.flatnonzero(short[places[anchor]] != least)
+    kept = short == _slide(np.concatenate((edge, least, edge)), width, np.maximum)
+    places = np.flatnonzero(kept)
+    # Each window's anchor is its first place with the smallest hash. Windows across texts
+    # have anchors too, which no window within one is given.
+    n = lengths - size + 1
+    windows = ragged(np.cumsum(lengths) - lengths, n) if len(lengths) > 1 else np.arange(len(least))
+    anchor = (np.cumsum(kept, dtype=np.int32) - kept)[windows]
+    least = least[windows]
+    hashes = short[places]
+    wrong = np.flatnonzero(hashes[anchor] != least)
     while len(wrong):
         anchor[wrong] += 1
-        wrong = wrong[short[places[anchor[wrong]]] != least[wrong]]
-    first = np.flatnonzero(np.diff(anchor, prepend=-1))
-    last = np.concatenate((first[1:] - 1, [len(windows) - 1]))
-    return first, last, full[places[anchor[first]]]
+        wrong = wrong[hashes[anchor[wrong]] != least[wrong]]
+    fresh = np.flatnonzero(np.diff(anchor, prepend=np.int32(-1)))
+    return windows[fresh], windows[np.concatenate((fresh[1:] - 1, [len(windows) - 1]))], full[places[anchor[fresh]]]
 
 
 def text_key(data: bytes) -> bytes:
@@ -162,19 +165,30 @@ def _second(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.nda
     return mix64((sums[end - 1] - sums[begin]) - begin.astype(np.uint64) * (plain[end - 1] - plain[begin]))
 
 
-def _contexts_of(letters: np.ndarray, size: int, gram: int, kind: int) -> list[np.ndarray]:
-    """first, last, g, c1, c2 of the contexts of a text's letters; none if it is too short."""
-    if len(letters) < size:
-        return [np.zeros(0, np.int64)] * 5
-    prefix = prefix_hash(letters)
-    first, last, g = contexts(letters, prefix, size, gram)
-    ends = last + size
-    g = g & ~np.uint64(1) | np.uint64(kind)
-    return [first.astype(np.int64), last.astype(np.int64), *(x.view(np.int64) for x in (g, window_hash(prefix, first, ends), _second(prefix, first, ends, letters)))]
-
-
-#: Bytes of texts whose words are hashed at once.
-_TEXTS = 1 << 20
+def _contexts_of(texts: list[np.ndarray], size: int, gram: int, kind: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of contexts of each text, given as its letters, none if it is too short; and
+    first, last, g, c1, c2 of all of them in the texts' order."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    n, found = np.zeros(len(texts), np.int64), [[np.zeros(0, np.int64)] for _ in range(5)]
+    long = np.flatnonzero(lengths >= size)
+    for some in grouped([texts[i] for i in long.tolist()], _LETTERS):
+        some_long, long = long[: len(some)], long[len(some) :]
+        letters = some[0] if len(some) == 1 else np.concatenate(some)
+        prefix, lens = prefix_hash(letters), lengths[some_long]
+        first, last, g = contexts(prefix, lens, size, gram)
+        ends, begin = last + size, np.cumsum(lens) - lens
+        text = np.searchsorted(begin, first, "right") - 1
+        n[some_long] = np.bincount(text, minlength=len(some))
+        g = g & ~np.uint64(1) | np.uint64(kind)
+        made = (first - begin[text], last - begin[text], *(x.view(np.int64) for x in (g, window_hash(prefix, first, ends), _second(prefix, first, ends, letters))))
+        for column, x in zip(found, made, strict=True):
+            column.append(x)
+    return n, [np.concatenate(x) for x in found]
+
+
+#: Bytes of texts whose words are hashed at once; letters of texts whose contexts are found at
+#: once, so that arrays of them stay in a processor's cache.
+_TEXTS, _LETTERS = 1 << 20, 1 << 16
 
 
 def _profile(docs: DataFrame, shape: tuple[int, int, int, int]) -> DataFrame:
@@ -185,28 +199,38 @@ def _profile(docs: DataFrame, shape: tuple[int, int, int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in sliced(batches):
-            n, n_words, keys, digests, sizes = [], [], [], [], []
+            n, n_words, keys, digests = [], [], [], []
             columns: list[list] = [[], [], [], [], []]
+            sizes = []
             for texts in grouped([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()], _TEXTS):
                 hashes, at = word_hashes(texts)
-                for k, text in enumerate(texts):
-                    n.append(len(text))
-                    n_words.append(int(at[k + 1] - at[k]))
-                    keys.append(text_key(text))
-                    digests.append(hashlib.sha256(text).digest())
-                    sizes.append(0)
-                    if keys[-1] in seen:
-                        continue
-                    seen.add(keys[-1])
-                    for found in (_contexts_of(np.frombuffer(text, np.uint8), size, gram, BYTES), _contexts_of(hashes[at[k] : at[k + 1]], passage, passage_gram, WORDS)):
-                        sizes[-1] += len(found[0])
-                        for column, x in zip(columns, found, strict=True):
-                            column.append(x)
+                here = [text_key(text) for text in texts]
+                new = []
+                for k, key in enumerate(here):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(k)
+                n.extend(map(len, texts))
+                n_words.append(np.diff(at))
+                keys.extend(here)
+                digests.extend(hashlib.sha256(text).digest() for text in texts)
+                (n_bytes, by_bytes), (n_passages, by_words) = (
+                    _contexts_of([np.frombuffer(texts[k], np.uint8) for k in new], size, gram, BYTES),
+                    _contexts_of([hashes[at[k] : at[k + 1]] for k in new], passage, passage_gram, WORDS),
+                )
+                # A text's contexts of either kind stand together.
+                owner = np.concatenate((np.repeat(np.arange(len(new)), n_bytes), np.repeat(np.arange(len(new)), n_passages)))
+                order = np.argsort(owner, kind="stable")
+                for column, x, y in zip(columns, by_bytes, by_words, strict=True):
+                    column.append(np.concatenate((x, y))[order])
+                counts = np.zeros(len(texts), np.int64)
+                counts[new] = n_bytes + n_passages
+                sizes.append(counts)
             if len(seen) > 500_000:
                 seen.clear()
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))) for c in columns]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(n_words, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "n_words", "t", "sha", "first", "last", "g", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.concatenate(n_words), pa.int64()), pa.array(keys, pa.binary()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "n_words", "t", "sha", "first", "last", "g", "c1", "c2"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {id_type}, n long, n_words long, t binary, sha binary, first array<long>, last array<long>, g array<long>, c1 array<long>, c2 array<long>")

@@ -311,6 +311,39 @@ def test_passages(spark, group):
     assert repeats_of(got) == sorted(map(list, brute.repeats(rows)), key=str)
 
 
+def test_contexts_of_many_texts():
+    """Texts taken together have the contexts that each has alone, the windows of which are the
+    text's, each once, with the anchor that its letters tell; and cost less than one by one."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    texts = [bytes(r.choices(b"ab c", k=r.choice((0, 5, 39, 40, 41, 300)))) for _ in range(400)] + [b"a" * 500, b"ab" * 300]
+    letters = [np.frombuffer(t, np.uint8) for t in texts]
+    for size, gram in ((40, 16), (40, 39), (40, 1)):
+        n, found = suffix_dedup._contexts_of(letters, size, gram, suffix_dedup.BYTES)
+        stops = np.cumsum(n)
+        seen = {}
+        for t, a, b in zip(texts, stops - n, stops, strict=True):
+            (k,), alone = suffix_dedup._contexts_of([np.frombuffer(t, np.uint8)], size, gram, suffix_dedup.BYTES)
+            assert k == b - a and all(np.array_equal(x, y[a:b]) for x, y in zip(alone, found, strict=True))
+            first, last, g = (x[a:b].tolist() for x in found[:3])
+            assert [i for x, y in zip(first, last, strict=True) for i in range(x, y + 1)] == list(range(len(t) - size + 1))
+            for x, y, h in zip(first, last, g, strict=True):
+                for i in range(x, y + 1):
+                    assert seen.setdefault(t[i : i + size], h) == h
+        assert any(v != next(iter(seen.values())) for v in seen.values())
+    many = [np.frombuffer(bytes(r.choices(b"abcdefgh ", k=600)), np.uint8) for _ in range(1000)]
+    taken = []
+    for groups in ([many], [[x] for x in many]):
+        began = time.process_time()
+        for some in groups:
+            suffix_dedup._contexts_of(some, suffix_dedup.SIZE, suffix_dedup.GRAM, suffix_dedup.BYTES)
+        taken.append(time.process_time() - began)
+    assert taken[0] < 0.7 * taken[1]
+
+
 def test_suffix_ranks():
     import random
 
